@@ -22,7 +22,7 @@ def packed(ids: Iterable[int]) -> bytes:
 class ChunkTable(dict):
     """chunk -> row; rows hold the chunk's ids. encode: list of chunks -> the packed ids of each."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 500_000, limit_bytes: int = 32 << 20):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 900_000, limit_bytes: int = 64 << 20):
         super().__init__()
         self.encode, self.limit, self.limit_bytes = encode, limit, limit_bytes
         self.reset()
@@ -84,7 +84,7 @@ class WordTokenizer:
         self.table = ChunkTable(self.encode_chunks)
 
     def encode_parts(self, parts: list[str]) -> None:
-        if len(self.parts) > 500_000:
+        if len(self.parts) > 900_000:
             self.parts.clear()
         new = [p for p in dict.fromkeys(parts) if p not in self.parts]
         encoded = self.library.encode_batch_fast(new, add_special_tokens=False)

@@ -42,7 +42,7 @@ class PieceTokenizer:
             raise ValueError("the model lacks the mark or has pieces across white space: words can't be encoded apart")
         self.mark = self.library.piece_to_id(MARK)
         self.end = self.library.eos_id()
-        self.table = PieceTable(self.encode_chunks, limit=400_000)
+        self.table = PieceTable(self.encode_chunks)
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """A chunk begins with a space, for which the library's own first mark stands."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import exact_dedup, packing, piece_tokens, token_counts, token_files
+from parley.llm import exact_dedup, packing, piece_tokens, simhash, token_counts, token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_best_fit_packing": packing.query,
         "op8_piece_tokens": piece_tokens.query,
         "op9_token_files": token_files.query,
+        "op10_simhash": simhash.query,
     }
 
 
