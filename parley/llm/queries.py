@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import exact_dedup, packing, piece_tokens, simhash, token_counts, token_files
+from parley.llm import embedding_dedup, exact_dedup, html_extract, language_id, packing, piece_tokens, simhash, token_counts, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.query,
+        "op2_toxicity": toxicity.query,
         "op3_token_counts": token_counts.query,
         "op4_best_fit_packing": packing.query,
+        "op5_embedding_dedup": embedding_dedup.query,
+        "op6_html_extraction": html_extract.query,
+        "op7_language_id": language_id.query,
         "op8_piece_tokens": piece_tokens.query,
         "op9_token_files": token_files.query,
         "op10_simhash": simhash.query,
