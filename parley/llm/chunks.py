@@ -69,7 +69,9 @@ class ChunkTable(dict):
 #: White space for str.split() that is none for the tokenizers' pattern \s.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 #: A run of letters, then ASCII that no letter rule of the two files' patterns can reach back over.
-_CORE = re.compile("( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-@\\[-`{-~][!-~]*)").fullmatch
+_CORE = re.compile("( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-@\\[-`{-~][!-~]*)?").fullmatch
+#: Byte-level files write each byte as a printable character: those that aren't come after U+00FF, in order.
+_PRINTED = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 
 class WordTokenizer:
@@ -80,30 +82,40 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         self.library = load_tokenizer(path)
+        self.model = self.library.model
         self.parts: dict[str, bytes] = {}
         self.table = ChunkTable(self.encode_chunks)
 
-    def encode_parts(self, parts: list[str]) -> None:
-        if len(self.parts) > 900_000:
-            self.parts.clear()
-        new = [p for p in dict.fromkeys(parts) if p not in self.parts]
-        encoded = self.library.encode_batch_fast(new, add_special_tokens=False)
-        self.parts.update(zip(new, (packed(e.ids) for e in encoded), strict=True))
+    def part(self, part: str, letters: bool) -> bytes:
+        """The ids of a run of letters, which is one word for the model, or of what follows it."""
+        if letters:
+            printed = part.replace(" ", "\u0120") if part.isascii() else part.encode().decode("latin-1").translate(_PRINTED)
+            ids = packed([t.id for t in self.model.tokenize(printed)])
+        else:
+            ids = packed(self.library.encode(part, add_special_tokens=False).ids)
+        self.parts[part] = ids
+        return ids
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """A new chunk such as `word.` is a run of letters and what follows: two parts, each encoded once."""
-        cut = []
+        """A new chunk such as `word.` is a run of letters and what follows: two parts, each encoded once.
+        Chunks of any other kind are encoded whole."""
+        if len(self.parts) > 900_000:
+            self.parts.clear()
+        known, lower, out, other = self.parts.get, self.lower, [], []
         for c in chunks:
             m = _CORE(c)
-            if m:
-                core, tail = m.groups()
-                cut.append((core.lower() if self.lower and core.isascii() else core, tail))
-            else:
-                cut.append((c,))
-        for at in range(0, len(cut), 50_000):
-            self.encode_parts([p for x in cut[at : at + 50_000] for p in x])
-            cut[at : at + 50_000] = [b"".join([self.parts[p] for p in x]) for x in cut[at : at + 50_000]]
-        return cut
+            if not m:
+                other.append(len(out))
+                out.append(b"")
+                continue
+            core, tail = m.groups()
+            if lower:
+                core = core.lower()
+            ids = known(core) or self.part(core, True)
+            out.append(ids + (known(tail) or self.part(tail, False)) if tail else ids)
+        for at, e in zip(other, self.library.encode_batch_fast([chunks[i] for i in other], add_special_tokens=False), strict=True):
+            out[at] = packed(e.ids)
+        return out
 
     def split(self, text: str) -> list[str]:
         return text.split() if not _ODD_SPACE.search(text) else [text]
