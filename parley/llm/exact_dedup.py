@@ -28,7 +28,7 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
 
 
-def exact_duplicates(docs: DataFrame, hot: int = 5000) -> DataFrame:
+def exact_duplicates(docs: DataFrame, hot: int = 1000) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every row of docs.
 
     keep_id is the largest doc_id among the rows of equal normalised text; kept marks its row. Needs
