@@ -56,7 +56,9 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None,
     version = tokenizer_version(tokenizer_path)
     content = texts(docs).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
     known = read_cache(spark, cache).where(F.col("tokenizer") == version).select("digest")
-    misses = content.join(known, "digest", "left_anti").groupBy("digest").agg(F.first("text").alias("text"))
+    # copies fall together before the shuffle, and the join then keeps that partitioning
+    distinct = content.groupBy("digest").agg(F.first("text").alias("text"))
+    misses = distinct.join(known, "digest", "left_anti")
     counted = misses.mapInArrow(count_batches(tokenizer_path), "digest string, n_tokens bigint")
     counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     counts = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
