@@ -4,6 +4,11 @@ A page is read as blocks: runs of text between block-level tags. For each block
 gives the cost of calling it content and of calling it boilerplate; these are the
 capacities to the two terminals. Neighbouring blocks and blocks of one parent are joined by
 smoothness edges. The minimum cut then splits content from boilerplate, found by maximum flow.
+
+The classifier is a logistic model fitted on a bounded sample of pages. Their markup gives the labels:
+blocks of an article element are content, blocks of marked elements (navigation, adverts and so on) are not.
+Each labelled block counts thrice: as it is, with the article hidden, and with its whole place in the markup
+hidden, so that blocks of pages without such markup are judged by what their text is like.
 """
 
 from __future__ import annotations
@@ -14,12 +19,16 @@ import re
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from operator import mul
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.common import slices, table
+from parley.llm.ngrams import sampled
+from parley.llm.toxicity import minimise
 
 # Fixed values of HTML: elements by their part in a page's layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -150,18 +159,62 @@ def element(name: str, attributes: str, parent: Element) -> Element:
     return Element(name, parent, marked or parent.marked, name in ARTICLE or parent.article, hidden or parent.hidden, name == "a" or parent.link, name in ("h1", "h2", "h3", "h4", "h5", "h6"))
 
 
-#: Weights of the block classifier: log-odds of content (fixed values).
-BIAS, IN_MARKED, IN_ARTICLE, LINKS, PER_LENGTH, SENTENCES, HEADING = -0.5, -9.0, 6.0, -4.0, 0.6, 1.0, 0.5
+#: Weights that the fit starts from and is drawn to, one for each of features() (fixed values).
+PRIOR = (-0.5, -9.0, 6.0, -4.0, 0.6, 1.0, 0.5)
+#: features() that tell a block's place in the markup, and of these the article
+PLACE, IN_ARTICLE = slice(1, 3), 2
 #: Capacities of the smoothness edges: to the next block, and to the next block of the same parent.
-NEXT, SIBLING = 0.4, 0.6
+NEXT, SIBLING = 0.5, 1.5
 
 
-def log_odds(text: str, block: Block) -> float:
+def features(text: str, block: Block) -> list[float]:
+    """One, in a marked element, in an article, share of links, length, has a sentence's end, is a heading."""
     top = block.parent
-    score = BIAS + IN_MARKED * top.marked + IN_ARTICLE * (top.article and not top.marked)
-    score += LINKS * min(1.0, block.linked / len(text))
-    score += PER_LENGTH * min(4.0, math.log1p(len(text) / 20)) + SENTENCES * bool(_SENTENCE.search(text)) + HEADING * top.heading
-    return score
+    place = [float(top.marked), float(top.article and not top.marked)]
+    return [1.0, *place, min(1.0, block.linked / len(text)), min(4.0, math.log1p(len(text) / 20)), float(bool(_SENTENCE.search(text))), float(top.heading)]
+
+
+def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 60) -> np.ndarray:
+    """Logistic weights of features x for labels y, with a Gaussian prior about PRIOR: without rows these are the weights."""
+    prior = np.array(PRIOR)
+    no_article, no_place = x.copy(), x.copy()
+    no_article[:, IN_ARTICLE] = no_place[:, PLACE] = 0
+    x, y = np.concatenate([x, no_article, no_place]), np.concatenate([y, y, y])
+
+    def loss(off: np.ndarray) -> tuple[float, np.ndarray]:
+        z = x @ (prior + off)
+        error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
+        return float(np.logaddexp(0, z).sum() - y @ z + penalty / 2 * (off @ off)), x.T @ error + penalty * off
+
+    return prior + minimise(loss, np.zeros(len(prior)), steps)
+
+
+def labelled(per_page: int):
+    """Features and label of up to per_page blocks of each page, evenly spread over those whose markup tells a label."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "html"):
+                rows = []
+                for page in part.column("html").to_pylist():
+                    told = [f for f in (features(*b) for b in blocks(page)) if any(f[PLACE])]
+                    rows += told[:: -(-len(told) // per_page) or 1]
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], ["x"])
+
+    return run
+
+
+def learn(pages: DataFrame, max_pages: int = 1000, per_page: int = 50) -> np.ndarray:
+    """The classifier's weights, from at most about max_pages pages (equal ones count once) and per_page blocks of each."""
+    own = pages.select(F.coalesce("html", F.lit("")).alias("html")).withColumn("h", F.xxhash64("html"))
+    total = own.count()
+    if not total:
+        return fit(np.empty((0, len(PRIOR))), np.empty(0))
+    # copies of a page fall together before the shuffle
+    chosen = own.where(sampled(F.col("h"), F.lit(min(1.0, max_pages / total)))).groupBy("h").agg(F.first("html").alias("html"))
+    found = chosen.select("html").mapInArrow(labelled(per_page), "x array<double>").toArrow()
+    x = np.array(sorted(found.column("x").to_pylist())).reshape(-1, len(PRIOR))
+    return fit(x, x[:, IN_ARTICLE])
 
 
 def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
@@ -225,12 +278,12 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
                 x = to[e]
 
 
-def main_text(page: str) -> str:
-    """The page's content blocks, joined by an empty line."""
+def main_text(page: str, weights: list[float]) -> str:
+    """The page's content blocks, joined by an empty line. weights: of features()."""
     found = blocks(page)
     if not found:
         return ""
-    odds = [log_odds(text, block) for text, block in found]
+    odds = [sum(map(mul, weights, features(text, block))) for text, block in found]
     edges = [(i, i + 1, NEXT) for i in range(len(found) - 1)]
     last: dict[int, int] = {}
     for i, (_, block) in enumerate(found):
@@ -242,16 +295,18 @@ def main_text(page: str) -> str:
     return "\n\n".join(text for (text, _), keep in zip(found, content, strict=True) if keep)
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars (code points) of every row of pages (page_id, url, html).
+def extract(pages: DataFrame, weights: np.ndarray) -> DataFrame:
+    """page_id, url, text and n_chars (code points) of every row of pages (page_id, url, html); weights as from learn().
 
     A null or empty page, or one without text, has the empty text. Repeated rows each get a row, other columns
     are ignored, null ids and addresses stay null, an empty table gives an empty one."""
 
+    own_weights = weights.tolist()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html"):
-                text = [main_text(p) for p in part.column("html").to_pylist()]
+                text = [main_text(p, own_weights) for p in part.column("html").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], ["page_id", "url", "text", "n_chars"]
                 )
@@ -262,4 +317,5 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract(table(spark, sf_dir, "pages"))
+    pages = table(spark, sf_dir, "pages")
+    return extract(pages, learn(pages))

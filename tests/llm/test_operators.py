@@ -236,10 +236,11 @@ def test_html(spark):
       lines here.</p><!-- <p>hidden</p> --><form>Sign up</form></article><div id="comments"><p>First! A long comment by a reader, with sentences. Yes.</p></div><footer>&copy; x. All rights.</footer>"""
     want = "Head & more\n\nOne bold <word>. next\n\nTwo lines here."
     df = spark.createDataFrame([(1, "u", page, "t"), (1, "u", page, "t"), (2, None, None, "t"), (None, "v", "", "t"), (3, "w", "<p>" + "Long text here. " * 20_000, "t"), (4, "x", "<<>< a", "t")], "page_id bigint, url string, html string, text string")
-    found = rows(html_extract.extract(df))
+    weights = html_extract.learn(df)
+    found = rows(html_extract.extract(df, weights))
     assert (1, "u", want, len(want)) in found and len(found) == 6 and (2, None, "", 0) in found and (None, "v", "", 0) in found
     assert next(r for r in found if r[0] == 3)[3] == 16 * 20_000 - 1
-    assert rows(html_extract.extract(df.limit(0))) == []
+    assert rows(html_extract.extract(df.limit(0), html_extract.learn(df.limit(0)))) == []
 
 
 def test_toxicity(spark, docs, none):
