@@ -6,20 +6,36 @@ next one's docs. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import exact_dedup, language_id, packing, simhash, toxicity
-from parley.llm.common import staged, table
+from parley.llm.common import staged, table, unused
 
 #: SQL can't express the stages; tests/llm/test_pipeline.py holds them against brute force.
 ORACLE_SQL = None
 
 
-def without(docs: DataFrame, dropped: DataFrame, label: str) -> DataFrame:
-    """docs but for the doc_ids in dropped. Few are dropped: written first, so that Spark knows their
-    size and sends them to the documents where they are small enough; else it joins by a shuffle."""
-    return docs.join(staged(dropped.select("doc_id").distinct(), label), "doc_id", "left_anti").select(docs.columns)
+def without(docs: DataFrame, marked: DataFrame, digest: Column, label: str) -> DataFrame:
+    """docs but for the rows that marked (doc_id, text_sha256, kept) has as not kept, and those it has as kept once each.
+
+    A row is told by its doc_id (null equals null) and digest, its text's SHA-256: an id may be null, or repeat
+    with another text. Few are marked: written first, so that Spark knows their size and sends them to the
+    documents where they are small enough; else it joins by a shuffle."""
+    pairs = marked.groupBy("doc_id", "text_sha256").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1")
+    pairs = staged(pairs.drop("n"), label)
+    name = unused(docs, "sha256")
+    keyed = docs.withColumn(name, digest)
+    dropped, again = (pairs.where(k).select(F.col("doc_id").alias("i"), F.col("text_sha256").alias("s")) for k in ("not kept", "kept"))
+
+    def same(rows: DataFrame, few: DataFrame) -> Column:
+        return rows["doc_id"].eqNullSafe(few["i"]) & (rows[name] == few["s"])
+
+    left = keyed.join(dropped, same(keyed, dropped), "left_anti")
+    if not again.isEmpty():
+        once = left.join(again, same(left, again), "left_semi").dropDuplicates(["doc_id", name])
+        left = left.join(again, same(left, again), "left_anti").unionByName(once)
+    return left.select(docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,15 +50,16 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves the row with the largest doc_id of each set of equal texts, once."""
-    left = without(docs, exact_dedup.exact_duplicates(docs).where("not kept"), "copies")
-    unique = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    return left if unique else left.dropDuplicates(["doc_id"])
+    """Leaves the row with the largest doc_id of each set of equal texts, once: a row for each text, ids null or not."""
+    copies = exact_dedup.exact_duplicates(docs).where("group_size > 1")
+    return without(docs, copies, F.sha2(exact_dedup.normalised(F.col("text")).cast("binary"), 256), "copies")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves the row with the smallest doc_id of each near-duplicate group."""
-    return without(docs, simhash.near_duplicates(docs).where("doc_id <> component_id"), "near-copies")
+    """Leaves the row with the smallest doc_id of each near-duplicate group, once; one with a null doc_id only where no
+    row of the group has an id. Fingerprints are linked, not ids, so that rows of one id are told apart by their texts."""
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
+    return without(docs, simhash.near_groups(docs, digest), digest, "near-copies")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

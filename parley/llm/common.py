@@ -22,6 +22,14 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as no column of df has (Spark doesn't tell case apart)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def with_columns(df: DataFrame, more: str) -> T.StructType:
     return T.StructType([*df.schema.fields, *T.StructType.fromDDL(more).fields])
 

@@ -17,12 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
 from parley.llm.buckets import compare_buckets, grouped
-from parley.llm.common import slices, staged, table, texts
+from parley.llm.common import slices, staged, table, texts, with_columns
 from parley.llm.components import connected_components
 
 #: lowest bit and bits of each block; the lowest 15 bits of a block are the Hamming code's
@@ -52,16 +52,22 @@ def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(count * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
-    """doc_id and fp (the fingerprint's bits as a signed bigint) of every row."""
+def fingerprinted(rows: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
+    """rows with fp (the fingerprint's bits as a signed bigint) in place of text, which isn't null."""
+    names = [c for c in rows.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 fp = np.array([fingerprint(t, words, seed) for t in part.column("text").to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(fp.view(np.int64))], [*names, "fp"])
+
+    return rows.mapInArrow(run, with_columns(rows.select(names), "fp bigint"))
 
-    return texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(run, "doc_id bigint, fp bigint")
+
+def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
+    """doc_id and fp of every row."""
+    return fingerprinted(texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")), words, seed)
 
 
 def _hamming() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,6 +158,29 @@ def linked(bits: int):
     return compare
 
 
+def components(reps: DataFrame, bits: int, block: int) -> DataFrame:
+    """node and component of the linked nodes of reps: fp (distinct) and rep, its node."""
+    if bits > 5:
+        raise ValueError("the blocks cover 5 differing bits at most")
+    replicas = reps.mapInArrow(replicate, "anchor bigint, fp bigint, rep bigint, home boolean")
+    return connected_components(compare_buckets(replicas, "anchor", "fp", block, linked(bits), "a bigint, b bigint"))
+
+
+def near_groups(docs: DataFrame, digest: Column, bits: int = 4, block: int = 20_000) -> DataFrame:
+    """doc_id, text_sha256 (digest) and kept of every row that has a near copy or a repeat.
+
+    Here the fingerprints are the nodes, not the ids: null and repeated ids link like any other. Of each group the rows
+    with the smallest doc_id are kept, null last, and of these the ones with the smallest digest."""
+    rows = docs.select("doc_id", digest.alias("text_sha256"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    each = staged(fingerprinted(rows), "row-fingerprints")
+    reps = staged(each.select("fp").distinct().withColumn("rep", F.col("fp")), "fingerprint-reps")
+    joined = staged(components(reps, bits, block).withColumnRenamed("node", "fp"), "fingerprint-groups")
+    each = each.join(joined, "fp", "left").select("doc_id", "text_sha256", F.coalesce("component", "fp").alias("group"))
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_sha256")
+    firsts = each.groupBy("group").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return each.join(staged(firsts, "group-firsts"), "group").select("doc_id", "text_sha256", order.eqNullSafe(F.col("first")).alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, bits: int = 4, words: int = 4, seed: int = 42, block: int = 20_000) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of docs.
 
@@ -160,14 +189,10 @@ def near_duplicates(docs: DataFrame, bits: int = 4, words: int = 4, seed: int =
     doc_id and text. Null and empty texts, and those without words, have fingerprint zero and are
     linked like any other. Rows with a null doc_id get the component of their fingerprint (null if no row has an id).
     Repeated rows each get a row; an empty table gives an empty one."""
-    if bits > 5:
-        raise ValueError("the blocks cover 5 differing bits at most")
     each = staged(fingerprints(docs, words, seed), "fingerprints")
     reps = each.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null")
     reps = staged(reps, "fingerprint-reps")
-    replicas = reps.mapInArrow(replicate, "anchor bigint, fp bigint, rep bigint, home boolean")
-    edges = compare_buckets(replicas, "anchor", "fp", block, linked(bits), "a bigint, b bigint")
-    joined = connected_components(edges)
+    joined = components(reps, bits, block)
     named = reps.join(joined, reps.rep == joined.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     named = staged(named, "fingerprint-components")
     out = each.join(named, "fp", "left")

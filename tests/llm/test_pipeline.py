@@ -24,3 +24,16 @@ def test_run(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(out.columns)
     assert out.count() > 100
+
+
+def test_copies_with_null_and_repeated_ids(spark):
+    far = ["alpha beta gamma delta epsilon", "one two three four five six seven", "red green blue black white grey pink"]
+    said = [(5, "A", 1), (6, "A", 2), (5, "B", 3), (None, "b", 4), (None, "C", 5), (None, "c", 6), (None, "D", 7), (7, "E", 8), (7, "e", 9), (7, "E", 8), (8, None, 10), (None, "", 11)]
+    docs = spark.createDataFrame(said, "doc_id bigint, text string, sha256 int").repartition(3)
+    kept = corpus_pipeline.drop_copies(spark, docs, SF)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], (r["text"] or "").lower()) for r in kept.collect()), key=repr) == sorted([(6, "a"), (5, "b"), (None, "c"), (None, "d"), (7, "e"), (8, "")], key=repr)
+    # near copies (of fingerprint, case apart): a null id goes before an id, an id keeps its other texts
+    said = [(5, far[0]), (3, far[0].upper()), (5, far[1]), (None, far[1]), (None, far[2]), (None, far[2].title()), (5, far[1])]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(said, "doc_id bigint, text string").repartition(3), SF)
+    assert sorted(((r["doc_id"], r["text"].lower()) for r in kept.collect()), key=repr) == sorted([(3, far[0]), (5, far[1]), (None, far[2])], key=repr)
