@@ -102,8 +102,10 @@ def learn(docs: DataFrame, per_language: int = 1200) -> Model:
 
 def predict(text: str | None, model: Model) -> tuple[str, float, bool]:
     """Language, calibrated score, and whether the prediction is accepted."""
-    if not text or not model.languages or not _LETTER(text):
+    if not text or not _LETTER(text):
         return UNKNOWN, 0.0, False
+    if not model.languages:
+        return UNKNOWN, 0.0, True  # nothing to reject it by
     b = buckets(text)
     p = softmax((model.logits[b].sum(axis=0, dtype=np.float64) / len(b) + model.bias) / model.temperature)
     i = int(p.argmax())
@@ -113,7 +115,8 @@ def predict(text: str | None, model: Model) -> tuple[str, float, bool]:
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """All columns of docs, with lang_pred, lang_score and lang_accepted.
 
-    A text that is null or has no letter is `und`, score 0, not accepted; so is every text if nothing could be learned."""
+    A text that is null or has no letter is `und`, score 0, not accepted. If nothing could be learned every text
+    with a letter is `und`, score 0, and accepted, as nothing tells against it."""
     clash = [c for c in ("lang_pred", "lang_score", "lang_accepted") if c in docs.columns]
     if clash:
         raise ValueError(f"docs already has {clash}")

@@ -19,6 +19,8 @@ from parley.llm.common import held_out, slices, table, texts, with_columns
 from parley.llm.ngrams import hashed_ngrams, sampled
 
 BITS, SIZES = 20, range(4, 9)
+#: the score where no text could be told from another: below any threshold in use, so that no document is rejected unseen
+NOTHING_LEARNED = 1e-3
 #: ASCII but letters and digits as blanks, so that a word's first n-gram is the same after any of these
 _BLANK = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -75,11 +77,10 @@ def minimise(value_and_gradient, w: np.ndarray, steps: int, memory: int = 8) ->
 
 
 def fit(rows: list[tuple[str, int]], penalty: float = 1.0, steps: int = 60) -> tuple[np.ndarray, float]:
-    """Weight of each bucket, and bias. Without rows of both classes the score is the share of class 1 (0.5 without rows)."""
+    """Weight of each bucket, and bias. Without rows of both classes nothing tells them apart: every score is NOTHING_LEARNED."""
     y = np.array([label for _, label in rows], np.float64)
     if not len(y) or y.min() == y.max():
-        share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if len(y) else 0.5
-        return np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share)))
+        return np.zeros(1 << BITS, np.float32), float(np.log(NOTHING_LEARNED / (1 - NOTHING_LEARNED)))
     presence = Presence()
     p, q = np.ones(1 << BITS), np.ones(1 << BITS)
     for text, label in rows:
@@ -128,7 +129,8 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> tuple[np.
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.3) -> DataFrame:
     """All columns of docs, with toxic_score (0 to 1) and toxic_predicted (1 from threshold on).
 
-    Null and empty texts have no n-grams but the blank ends: their score is the model's bias, about the share of toxic texts."""
+    Null and empty texts have no n-grams but the blank ends: their score is the model's bias, about the share of toxic texts.
+    Where nothing could be learned every text scores 0.001 and is predicted 0."""
     weights, bias = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)
     named = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))

@@ -1,8 +1,10 @@
 """The pipeline's stages against brute force on the smallest tables, and on hard rows."""
 
+import zlib
 from collections import defaultdict
 
 import corpus_pipeline
+from parley.llm import language_id, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,3 +39,16 @@ def test_copies_with_null_and_repeated_ids(spark):
     said = [(5, far[0]), (3, far[0].upper()), (5, far[1]), (None, far[1]), (None, far[2]), (None, far[2].title()), (5, far[1])]
     kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(said, "doc_id bigint, text string").repartition(3), SF)
     assert sorted(((r["doc_id"], r["text"].lower()) for r in kept.collect()), key=repr) == sorted([(3, far[0]), (5, far[1]), (None, far[2])], key=repr)
+
+
+def test_nothing_learned(spark, tmp_path):
+    said = [(i, f"some clean words {i}", None) for i in range(8)] + [(None, "no id", None), (8, "", None), (9, None, None), (10, "12 !", None)]
+    docs = spark.createDataFrame(said, "doc_id bigint, text string, lang string")
+    apart = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 4 == 2)
+    for case, labels in enumerate(([], [(1000, 0, 1)], [(apart, 0, 1)], [(0, 0, 1), (1, 0, 1)])):
+        table = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+        table.write.parquet(f"{tmp_path}/{case}/labels.parquet")
+        assert sorted(map(tuple, corpus_pipeline.drop_toxic(spark, docs, f"{tmp_path}/{case}").collect()), key=repr) == sorted(said, key=repr)
+        assert {r["predicted"] for r in toxicity.toxic_scores(docs, table).collect()} == {0}
+    assert sorted(map(tuple, corpus_pipeline.drop_unidentified(spark, docs, SF).collect()), key=repr) == sorted(said[:9], key=repr)
+    assert {(r["doc_id"], r["accepted"]) for r in language_id.languages(docs).collect()} == {(i, i not in (8, 9, 10)) for i, _, _ in said}
