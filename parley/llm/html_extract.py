@@ -6,7 +6,8 @@ capacities to the two terminals. Neighbouring blocks and blocks of one parent ar
 smoothness edges. The minimum cut then splits content from boilerplate, found by maximum flow.
 
 The classifier is a logistic model fitted on a bounded sample of pages. Their markup gives the labels:
-blocks of an article element are content, blocks of marked elements (navigation, adverts and so on) are not.
+blocks of an article element are content, blocks of marked elements (navigation, adverts and so on) are not;
+an article clears the marks of what is around it, and these are no labels, only a cost, for what is beside it.
 Each labelled block counts thrice: as it is, with the article hidden, and with its whole place in the markup
 hidden, so that blocks of pages without such markup are judged by what their text is like.
 """
@@ -33,8 +34,12 @@ from parley.llm.toxicity import minimise
 # Fixed values of HTML: elements by their part in a page's layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("script style head title noscript template svg math iframe object canvas select option datalist xmp noembed noframes textarea button".split())
-INLINE = frozenset(
+HIDDEN = frozenset("script style head title noscript template svg iframe object canvas select option datalist xmp noembed noframes textarea button mphantom annotation annotation-xml".split())
+#: elements of formulas, which are read as part of their line
+MATH = frozenset(
+    "math mrow mi mo mn ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd mlabeledtr maction semantics annotation annotation-xml".split()
+)
+INLINE = MATH | frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split()
 )
 LAYOUT = frozenset("nav footer aside form menu dialog".split())
@@ -56,8 +61,11 @@ _SENTENCE = re.compile(r"[.!?…。]")
 class Element:
     name: str
     parent: Element | None
-    marked: bool  # in navigation, footers, adverts and the like
+    marked: bool  # in navigation, footers, adverts and the like, as far as no article begins inside these
+    mark: Element | None  # the innermost element of that kind that it is or is in, articles aside
+    firm: bool  # whether it is such an element by more than a class, an id or a form
     article: bool
+    unit: Element | None  # the article or main element that cleared the marks around it
     hidden: bool
     link: bool
     heading: bool
@@ -68,12 +76,15 @@ class Block:
     parent: Element
     text: list[str] = field(default_factory=list)
     linked: int = 0  # characters inside links
+    marked: bool = False
+    told: bool = False  # whether its markup says if it is content
 
 
 def blocks(page: str) -> list[tuple[str, Block]]:
     """The page's text blocks in order; comments, raw elements and hidden elements give none."""
-    root = Element("", None, False, False, False, False, False)
+    root = Element("", None, False, None, False, False, None, False, False, False)
     stack, out = [root], []
+    marks: list[Element] = []
     now: Block | None = None
 
     def close() -> None:
@@ -123,7 +134,7 @@ def blocks(page: str) -> list[tuple[str, Block]]:
                     del stack[i:]
                     break
             continue
-        if name in VOID:
+        if name in VOID or (name in MATH and m[3].endswith("/")):
             continue
         if name not in INLINE:
             # an open paragraph ends here, and with it what was opened inside a line
@@ -136,27 +147,83 @@ def blocks(page: str) -> list[tuple[str, Block]]:
             elif i < len(stack) - 1 and name == "p":
                 del stack[i + 1 :]
         stack.append(element(name, m[3], stack[-1]))
+        if stack[-1].mark is stack[-1]:
+            marks.append(stack[-1])
         if name in RAW:
             stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.IGNORECASE).search(page, at)
             at = stop.end() if stop else end
             stack.pop()
     close()
+    place(out, marks)
     return out
 
 
+def place(found: list[tuple[str, Block]], marks: list[Element]) -> None:
+    """Sets marked and told of the page's blocks. marks: its marked elements, outer ones before inner ones.
+
+    * A mark around an article says nothing of the article, and of what else it holds only that it may be boilerplate.
+    * But where it isn't around another article with as much text, what it holds is a comment or a teaser.
+    * On a page without articles a class, an id or a form around everything says nothing."""
+    size: dict[int, int] = {}
+    units: dict[int, Element] = {}
+    for text, block in found:
+        block.marked = block.parent.marked
+        if unit := block.parent.unit:
+            units[id(unit)] = unit
+            size[id(unit)] = size.get(id(unit), 0) + (0 if block.marked else len(text))
+    around = {i: unit.parent.mark for i, unit in units.items()}
+    # the longest article right inside each mark, and of those outside it but inside the next ones
+    longest: dict[int, int] = {}
+    for i, mark in around.items():
+        longest[id(mark)] = max(longest.get(id(mark), 0), size[i])
+    outside: dict[int, int] = {id(None): 0}
+    for mark in marks:
+        outer = id(mark.parent.mark)
+        outside[id(mark)] = max(outside[outer], longest.get(outer, 0))
+    beside = {i for i, mark in around.items() if mark and outside[id(mark)] >= max(1, size[i])}
+    wraps: set[int] = set()
+    for i, mark in around.items():
+        while i not in beside and mark and id(mark) not in wraps:
+            wraps.add(id(mark))
+            mark = mark.parent.mark
+    if not units:
+        holds: dict[int, int] = {}
+        for _, block in found:
+            holds[id(block.parent.mark)] = holds.get(id(block.parent.mark), 0) + 1
+        for mark in reversed(marks):
+            outer = id(mark.parent.mark)
+            holds[outer] = holds.get(outer, 0) + holds.get(id(mark), 0)
+        wraps = {id(mark) for mark in marks if holds.get(id(mark)) == len(found) and not mark.firm}
+    for _, block in found:
+        top = block.parent
+        if top.unit:
+            block.marked = block.marked or id(top.unit) in beside
+        elif not units:
+            block.marked = block.marked and id(top.mark) not in wraps
+        block.told = block.marked and (top.unit is not None or id(top.mark) not in wraps) or top.article
+
+
 def element(name: str, attributes: str, parent: Element) -> Element:
-    marked, hidden = name in LAYOUT or (name == "header" and not parent.article), name in HIDDEN
+    firm, hidden = (name in LAYOUT and name != "form") or (name == "header" and not parent.article), name in HIDDEN
+    loose = name == "form"
     if "=" in attributes or "hidden" in attributes:
         for key, *values in _ATTRIBUTE.findall(attributes):
             value = "".join(values).lower()
             key = key.lower()
             if key in ("class", "id") and name not in ("html", "body", "article", "main"):
-                marked = marked or not MARKS.isdisjoint(_WORDS.findall(value))
+                loose = loose or not MARKS.isdisjoint(_WORDS.findall(value))
             elif key == "role":
-                marked = marked or value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "menu")
+                firm = firm or value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "menu")
             elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "")):
                 hidden = True
-    return Element(name, parent, marked or parent.marked, name in ARTICLE or parent.article, hidden or parent.hidden, name == "a" or parent.link, name in ("h1", "h2", "h3", "h4", "h5", "h6"))
+    # an article inside an article is a part of it, such as a reader's comment
+    begins = name in ARTICLE and (not parent.unit or (name == "article" and parent.unit.name == "main"))
+    own = Element(name, parent, firm or loose or (parent.marked and not begins), parent.mark, firm, name in ARTICLE or parent.article, parent.unit, hidden or parent.hidden, name == "a" or parent.link, name in ("h1", "h2", "h3", "h4", "h5", "h6"))
+    if firm or loose:
+        own.mark = own
+    if begins:
+        own.unit = own
+    return own
 
 
 #: Weights that the fit starts from and is drawn to, one for each of features() (fixed values).
@@ -170,8 +237,8 @@ NEXT, SIBLING = 0.5, 1.5
 def features(text: str, block: Block) -> list[float]:
     """One, in a marked element, in an article, share of links, length, has a sentence's end, is a heading."""
     top = block.parent
-    place = [float(top.marked), float(top.article and not top.marked)]
-    return [1.0, *place, min(1.0, block.linked / len(text)), min(4.0, math.log1p(len(text) / 20)), float(bool(_SENTENCE.search(text))), float(top.heading)]
+    where = [float(block.marked), float(top.article and not block.marked)]
+    return [1.0, *where, min(1.0, block.linked / len(text)), min(4.0, math.log1p(len(text) / 20)), float(bool(_SENTENCE.search(text))), float(top.heading)]
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, steps: int = 60) -> np.ndarray:
@@ -197,7 +264,7 @@ def labelled(per_page: int):
             for part in slices(batch, "html"):
                 rows = []
                 for page in part.column("html").to_pylist():
-                    told = [f for f in (features(*b) for b in blocks(page)) if any(f[PLACE])]
+                    told = [features(*b) for b in blocks(page) if b[1].told]
                     rows += told[:: -(-len(told) // per_page) or 1]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], ["x"])
 

@@ -243,6 +243,30 @@ def test_html(spark):
     assert rows(html_extract.extract(df.limit(0), html_extract.learn(df.limit(0)))) == []
 
 
+STORY = "<h1>A heading</h1><p>The first sentence of the story. It goes on for a while, and ends here.</p><p>Then a formula: <math><mi>x</mi><mo>+</mo><mspace width='1em'/><mn>1</mn><annotation>x+1</annotation></math> holds.</p>"
+TOLD = "A heading\n\nThe first sentence of the story. It goes on for a while, and ends here.\n\nThen a formula: x+1 holds."
+AROUND = [
+    "<article>%s</article>", "<div class='has-sidebar'><article>%s</article></div>", "<div class='content with-sidebar'><main>%s</main></div>", "<form action=x><div id='no-banner'><article>%s</article></div></form>",
+    "<main><div class='has-sidebar'><article>%s</article></div></main>", "<article>%s<div class='share'>Share this with all of your friends. Now.</div></article>",
+    "<div class='has-sidebar'><article>%s</article><div class='comment-list'><article><p>A reader says so. And more.</p></article></div></div>",
+    "<main><article>%s<div id='comments'><article><p>A reader says so. And more.</p></article></div></article></main>", "<article>%s</article><aside><article><p>Read this too. It is good.</p></article></aside>",
+    "<div class='widget'><article><p>A teaser is here. Go on.</p></article></div><div class='has-sidebar'><article>%s</article></div>", "<form>%s</form>", "<body><div class='has-sidebar'>%s</div>",
+]
+
+
+@pytest.mark.parametrize("learnt", [False, True])
+def test_html_marks_around_articles(spark, learnt):
+    pages = ["<nav><a href=x>Home</a> <a href=y>News</a></nav>" * (not around.startswith(("<form>", "<body>"))) + around % STORY for around in AROUND]
+    df = spark.createDataFrame([(i, "u", p) for i, p in enumerate(pages)], "page_id bigint, url string, html string")
+    weights = html_extract.learn(df if learnt else df.limit(0))
+    found = {r["page_id"]: r["text"] for r in html_extract.extract(df, weights).collect()}
+    # the ninth has a teaser of its own, in an article that nothing else is around: it may stay
+    assert [found[i].split("Go on.\n\n")[-1] if i == 9 else found[i] for i in range(len(AROUND))] == [TOLD] * len(AROUND)
+    # a mark beside an article is a cost, not a label
+    beside = html_extract.blocks("<div class='has-sidebar'><p>Beside.</p><article>In it.</article></div><nav>Home</nav>")
+    assert [(b.marked, b.told) for _, b in beside] == [(True, False), (False, True), (True, True)]
+
+
 def test_toxicity(spark, docs, none):
     rng = np.random.default_rng(6)
     words = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(60)]
