@@ -41,13 +41,15 @@ def without(docs: DataFrame, marked: DataFrame, digest: Column, label: str) -> D
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves documents scored below 0.3, with or without text: all of them where nothing could be learned."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).where("toxic_predicted = 0").select(docs.columns)
+    added = unused(docs, "toxic_score"), unused(docs, "toxic_predicted")
+    return toxicity.score(docs, model, added=added).where(F.col(added[1]) == 0).select(docs.columns)
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves documents whose language is told with enough certainty: not null texts or those without a letter.
     Where nothing could be learned all texts with a letter are left."""
-    return language_id.identify(docs, language_id.learn(docs)).where("lang_accepted").select(docs.columns)
+    added = unused(docs, "lang_pred"), unused(docs, "lang_score"), unused(docs, "lang_accepted")
+    return language_id.identify(docs, language_id.learn(docs), added).where(F.col(added[2])).select(docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

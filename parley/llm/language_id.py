@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import held_out, slices, table, with_columns
+from parley.llm.common import held_out, slices, table, unused, with_columns
 from parley.llm.ngrams import hashed_ngrams, sampled
 
 BITS, SIZES, DIM = 15, range(2, 5), 16
@@ -112,12 +112,12 @@ def predict(text: str | None, model: Model) -> tuple[str, float, bool]:
     return model.languages[i], float(p[i]), bool(p[i] >= model.reject_below)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of docs, with lang_pred, lang_score and lang_accepted.
+def identify(docs: DataFrame, model: Model, added: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_accepted")) -> DataFrame:
+    """All columns of docs, with lang_pred, lang_score and lang_accepted, by the names in added, which docs mustn't have.
 
     A text that is null or has no letter is `und`, score 0, not accepted. If nothing could be learned every text
     with a letter is `und`, score 0, and accepted, as nothing tells against it."""
-    clash = [c for c in ("lang_pred", "lang_score", "lang_accepted") if c in docs.columns]
+    clash = [c for c in added if unused(docs, c) != c]
     if clash:
         raise ValueError(f"docs already has {clash}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -129,9 +129,9 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
                 out = [predict(t, shared.value) for t in part.column("text").to_pylist()]
                 lang, score, accepted = zip(*out, strict=True)
                 columns = [*(part.column(c) for c in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())]
-                yield pa.RecordBatch.from_arrays(columns, [*names, "lang_pred", "lang_score", "lang_accepted"])
+                yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
-    return docs.mapInArrow(run, with_columns(docs, "lang_pred string, lang_score double, lang_accepted boolean"))
+    return docs.mapInArrow(run, with_columns(docs, "{} string, {} double, {} boolean".format(*added)))
 
 
 def languages(docs: DataFrame, per_language: int = 1200) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import held_out, slices, table, texts, with_columns
+from parley.llm.common import held_out, slices, table, texts, unused, with_columns
 from parley.llm.ngrams import hashed_ngrams, sampled
 
 BITS, SIZES = 20, range(4, 9)
@@ -126,27 +126,27 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> tuple[np.
     return fit([(text, label) for _, text, label in rows])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.3) -> DataFrame:
-    """All columns of docs, with toxic_score (0 to 1) and toxic_predicted (1 from threshold on).
+def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.3, added: tuple[str, str] = ("toxic_score", "toxic_predicted")) -> DataFrame:
+    """All columns of docs, with toxic_score (0 to 1) and toxic_predicted (1 from threshold on), by the names in added, which docs mustn't have.
 
     Null and empty texts have no n-grams but the blank ends: their score is the model's bias, about the share of toxic texts.
     Where nothing could be learned every text scores 0.001 and is predicted 0."""
     weights, bias = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    named = docs.withColumn("_text", F.coalesce(F.col("text"), F.lit("")))
-    names = [c for c in named.columns if c != "_text"]
+    full, names = unused(docs, "_text"), docs.columns
+    named = docs.withColumn(full, F.coalesce(F.col("text"), F.lit("")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
-                z = [logit(t, shared.value, bias) for t in part.column("_text").to_pylist()]
+            for part in slices(batch, full):
+                z = [logit(t, shared.value, bias) for t in part.column(full).to_pylist()]
                 p = 1 / (1 + np.exp(-np.clip(np.array(z), -500, 500)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, "toxic_score", "toxic_predicted"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, *added])
 
-    clash = [c for c in ("toxic_score", "toxic_predicted", "_text") if c in docs.columns]
+    clash = [c for c in added if unused(docs, c) != c]
     if clash:
         raise ValueError(f"docs already has {clash}")
-    return named.mapInArrow(run, with_columns(docs, "toxic_score double, toxic_predicted int"))
+    return named.mapInArrow(run, with_columns(docs, f"{added[0]} double, {added[1]} int"))
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 8000) -> DataFrame:

@@ -3,6 +3,8 @@
 import zlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from parley.llm import language_id, toxicity
 
@@ -52,3 +54,14 @@ def test_nothing_learned(spark, tmp_path):
         assert {r["predicted"] for r in toxicity.toxic_scores(docs, table).collect()} == {0}
     assert sorted(map(tuple, corpus_pipeline.drop_unidentified(spark, docs, SF).collect()), key=repr) == sorted(said[:9], key=repr)
     assert {(r["doc_id"], r["accepted"]) for r in language_id.languages(docs).collect()} == {(i, i not in (8, 9, 10)) for i, _, _ in said}
+
+
+def test_clashing_columns(spark):
+    names = ["toxic_score", "TOXIC_predicted", "_toxic_predicted", "_text", "lang_pred", "lang_score", "Lang_Accepted", "sha256", "text_sha256", "kept", "n", "i", "s", "fp", "group", "component", "h", "norm", "salt"]
+    plain = spark.read.parquet(f"{SF}/documents.parquet").cache()
+    docs = plain.select("*", *(F.concat(F.lit(f"{c} "), "doc_id").alias(c) for c in names))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        found = stage(spark, docs, SF)
+        assert found.columns == docs.columns
+        ids = sorted(r["doc_id"] for r in found.where(" and ".join(f"`{c}` = concat('{c} ', doc_id)" for c in names)).select("doc_id").collect())
+        assert ids and ids == sorted(r["doc_id"] for r in stage(spark, plain, SF).select("doc_id").collect())
