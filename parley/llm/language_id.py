@@ -2,7 +2,7 @@
 
 A text's byte n-grams (n = 2 to 4, lower case, all ASCII but letters as blanks) are hashed to buckets; each bucket
 has an embedding, their average goes through a linear softmax. Both are trained by stochastic
-gradient descent in numpy on at most about `per_language` texts of each language. A fifth of
+gradient descent in numpy on at most about `per_language` texts of each language and `max_rows` in all. A fifth of
 these is kept apart: a temperature is fitted on it, and the score below which a prediction is rejected is
 its lowest calibrated scores' quantile, never over one half.
 """
@@ -90,13 +90,19 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 20.0, batch:
     return Model(languages, logits, bias.astype(np.float64), temperature, reject)
 
 
-def learn(docs: DataFrame, per_language: int = 1200) -> Model:
-    """Fits on texts with a language outside the held-out quarter. Bounded: about per_language texts of each
-    language reach the driver (languages are few: a row each in the counts)."""
+def learn(docs: DataFrame, per_language: int = 1200, max_rows: int = 48_000, max_languages: int = 256) -> Model:
+    """Fits on texts with a language outside the held-out quarter. Bounded (to within chance): about per_language texts
+    of each language reach the driver, and max_rows in all. The draw is by id and text, and rows of one language, id and
+    text count once, so that null and repeated ids are drawn like any other. Of more than max_languages languages (the
+    model has a column for each) those with the fewest rows aren't learned."""
     own = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null").where(~held_out(F.col("doc_id")))
-    sizes = own.groupBy("lang").count().select("lang", F.least(F.lit(1.0), per_language / F.col("count")).alias("share"))
-    chosen = own.join(F.broadcast(sizes), "lang").where(sampled(F.col("doc_id"), F.col("share"))).select("doc_id", "text", "lang").toArrow()
-    rows = sorted(zip(*(chosen.column(c).to_pylist() for c in ("doc_id", "text", "lang")), strict=True), key=lambda r: (r[0] is None, r))
+    sizes = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    wanted = sum(min(r["count"], per_language) for r in sizes)
+    shares = [(r["lang"], min(r["count"], per_language) / r["count"] * min(1.0, max_rows / wanted)) for r in sizes]
+    few = docs.sparkSession.createDataFrame(shares, "lang string, share double")
+    drawn = own.withColumn("h", F.xxhash64("text")).join(F.broadcast(few), "lang").where(sampled(F.struct("doc_id", "h"), F.col("share")))
+    chosen = drawn.groupBy("lang", "doc_id", "h").agg(F.first("text").alias("text")).select("doc_id", "text", "lang").toArrow()
+    rows = sorted(zip(*(chosen.column(c).to_pylist() for c in ("doc_id", "text", "lang")), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
     return fit([(text, lang) for _, text, lang in rows])
 
 

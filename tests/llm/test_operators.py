@@ -289,3 +289,15 @@ def test_language(spark, none):
     assert all(found[i]["lang_pred"] == k and found[i]["accepted"] for i, _, k in said if found[i]["held_out"])
     assert all((found[i]["lang_pred"], found[i]["score"], found[i]["accepted"]) == ("und", 0.0, False) for i in (400, 401, 402)) and found[None]["lang_pred"] == "aa"
     assert rows(language_id.languages(none)) == []
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(language_id, "fit", seen.append)
+    said = [(None, f"null id {i}", "aa") for i in range(2000)] + [(19, f"one id {i}", "bb") for i in range(2000)] + [(None, "same", "cc")] * 2000 + [(i, f"own {i}", f"l{i % 300:03}") for i in range(3000)]
+    df = spark.createDataFrame(said, "doc_id bigint, text string, lang string").repartition(4)
+    language_id.learn(df, per_language=200)
+    count = Counter(lang for _, lang in seen[-1])
+    assert 120 < count["aa"] < 280 and 120 < count["bb"] < 280 and count["cc"] <= 1 and len(count) <= 256
+    language_id.learn(df, per_language=200, max_rows=300)
+    assert 200 < len(seen[-1]) < 400
