@@ -16,12 +16,13 @@ from pyspark.sql import functions as F
 from parley.llm.common import staged
 
 
-def compare_buckets(rows: DataFrame, key: str, row_id: str, block: int, compare: Callable[[pa.RecordBatch, np.ndarray | None], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def compare_buckets(rows: DataFrame, key: str, row_id: str, block: int, compare: Callable[[pa.RecordBatch, np.ndarray | None], Iterator[pa.RecordBatch]], schema: str, sizes: DataFrame | None = None) -> DataFrame:
     """Calls compare(bucket, side) for each bucket of key (bigint), or each pair of its chunks, and returns its rows.
+    sizes: count of each bucket, where it is known already.
 
     side is None where the bucket is whole: compare all rows. Else it is 0 or 1 by row: compare rows of
     different sides, and those of side 0 among each other only where there is no side 1."""
-    large = staged(rows.groupBy(key).count().where(F.col("count") > block), "large-buckets")
+    large = staged((rows.groupBy(key).count() if sizes is None else sizes).where(F.col("count") > block).select(key, "count"), "large-buckets")
     chunks = F.ceil(F.col("count") / block).cast("int")
     if large.isEmpty():
         dealt = rows.withColumns({"_a": F.lit(0), "_b": F.lit(0), "_side": F.lit(-1)})
@@ -43,17 +44,17 @@ def compare_buckets(rows: DataFrame, key: str, row_id: str, block: int, compare:
             if not batch.num_rows:
                 continue
             k, a, b = (batch.column(c).to_numpy() for c in (key, "_a", "_b"))
-            borders = np.flatnonzero((k[1:] != k[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1
-            first = (int(k[0]), int(a[0]), int(b[0]))
-            if held and first != last:
+            ends = np.append(np.flatnonzero((k[1:] != k[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])) + 1, batch.num_rows)
+            begins = np.concatenate([[0], ends[:-1]])
+            if held and (int(k[0]), int(a[0]), int(b[0])) != last:
                 yield from one_bucket(held)
                 held = []
-            at = 0
-            for to in borders.tolist():
-                held.append(batch.slice(at, to - at))
-                yield from one_bucket(held)
-                held, at = [], to
-            held.append(batch.slice(at))
+            if len(ends) > 1:  # the first bucket may have begun before this batch, the last may go on after it
+                yield from one_bucket([*held, batch.slice(0, ends[0])])
+                held = []
+                for at in np.flatnonzero(ends[1:-1] - begins[1:-1] > 1).tolist():
+                    yield from one_bucket([batch.slice(begins[at + 1], ends[at + 1] - begins[at + 1])])
+            held.append(batch.slice(begins[-1]))
             last = (int(k[-1]), int(a[-1]), int(b[-1]))
         if held:
             yield from one_bucket(held)

@@ -1,11 +1,16 @@
 """SimHash near-dedup by anchor-point covering.
 
-The 64 fingerprint bits are three blocks of 22, 21 and 21. Two fingerprints with at most 5 differing
-bits differ in at most one bit of some block. Each block's anchors are the words of a covering code:
-the perfect Hamming code on 15 bits, every value of the other 6 or 7. Its covering radius is 1, so a
-fingerprint's nearest anchor (its home) is at most 1 bit away, and at most 1 + 1 bits from any
-fingerprint that differs by one bit. Replicated to all anchors within 2 bits (15 on average), a
-fingerprint meets the home rows of all its partners; rows of an anchor are compared in full.
+The 64 fingerprint bits are m blocks, and anchors are made for every choice of k of them. Two fingerprints with
+at most 4 differing bits agree on m - 4 blocks at least, and differ in at most e = floor(4 k / m) bits of some k blocks
+together: that (0 where k <= m - 4) is the threshold left there. The anchors of k joined blocks are the words of a covering code: the perfect Hamming code on their lowest 15
+bits, every value of the others. Its covering radius is 1, so a fingerprint's nearest anchor (its home) is at most
+1 bit away, and at most 1 + e bits from any fingerprint that differs by e bits. Replicated to all anchors
+within 1 + e bits, a fingerprint meets the home rows of all its partners; rows of an anchor are compared in full.
+
+How many rows an anchor has grows with the table if the anchors don't, so m and k follow the number of distinct
+fingerprints (see plan_for): up to some 200,000 three single blocks of 21 bits with e = 1 (45 replicas), then 2 of 6,
+3 of 7, 4 of 8 blocks and so on, where e is 0 and the home is the only anchor within 1 bit. Each plan finds every
+link: it changes what is compared, not what is found.
 
 Equal fingerprints are one row from the start. What an anchor gives out is a spanning forest of its
 links, not all pairs; components are joined over these edges.
@@ -14,6 +19,9 @@ links, not all pairs; components are joined over these edges.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
+from math import comb
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +33,38 @@ from parley.llm.buckets import compare_buckets, grouped
 from parley.llm.common import slices, staged, table, texts, with_columns
 from parley.llm.components import connected_components
 
-#: lowest bit and bits of each block; the lowest 15 bits of a block are the Hamming code's
-BLOCKS = ((0, 22), (22, 21), (43, 21))
+#: the most differing bits of a link
+BITS = 4
+
+
+class Plan(NamedTuple):
+    """Anchors for every choice of `joined` of the 64 bits' `blocks`."""
+
+    blocks: int
+    joined: int
+
+    @property
+    def budget(self) -> int:
+        return 0 if self.joined <= self.blocks - BITS else BITS * self.joined // self.blocks
+
+    @property
+    def replicas(self) -> float:
+        """Anchors of a fingerprint, on average."""
+        free = 64 * self.joined / self.blocks - 15
+        within = 15 / 16 * (8 + free) + (1 + free + free * (free - 1) / 2) / 16 if self.budget else 1
+        return comb(self.blocks, self.joined) * within
+
+    def compared(self, n: int) -> float:
+        """How many of n random fingerprints one is compared with."""
+        return self.replicas * n / 2 ** (64 * self.joined / self.blocks - 4)
+
+
+PLANS = [Plan(3, 1), *(Plan(m, m - BITS) for m in range(6, 13))]
+
+
+def plan_for(n: int, most: float = 50) -> Plan:
+    """The plan with the fewest blocks that compares a fingerprint with at most about `most` others of n random ones."""
+    return next((p for p in PLANS if p.compared(n) <= most), PLANS[-1])
 
 
 def fingerprint(text: str, words: int = 4, seed: int = 42) -> int:
@@ -84,17 +122,24 @@ def _hamming() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 SYNDROME, SINGLE, DOUBLE = _hamming()
 
 
-def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchors within 2 bits of each fingerprint: (anchor, place in fp, whether it is the fingerprint's home)."""
+def anchors(fp: np.ndarray, plan: Plan) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of each fingerprint: (anchor, place in fp, whether it is the fingerprint's home)."""
     out: list[tuple[np.ndarray, np.ndarray, bool]] = []
     every = np.arange(len(fp))
-    for block, (low, bits) in enumerate(BLOCKS):
-        value = (fp.view(np.uint64) >> np.uint64(low)).astype(np.int64) & ((1 << bits) - 1)
-        word, free = value & 0x7FFF, value >> 15
+    borders = [64 * i // plan.blocks for i in range(plan.blocks + 1)]
+    blocks = [fp.view(np.uint64) >> np.uint64(a) & np.uint64((1 << b - a) - 1) for a, b in zip(borders, borders[1:], strict=False)]
+    for choice, own in enumerate(combinations(range(plan.blocks), plan.joined)):
+        value, bits = np.zeros(len(fp), np.uint64), 0
+        for i in own:
+            value |= blocks[i] << np.uint64(bits)
+            bits += borders[i + 1] - borders[i]
+        word, free = (value & np.uint64(0x7FFF)).astype(np.int64), (value >> np.uint64(15)).astype(np.int64)
         syndrome = SYNDROME[word]
         home = word ^ SINGLE[syndrome]
-        key = lambda w, f, block=block: block << 40 | f << 15 | w
+        key = lambda w, f, choice=choice: choice << 44 | f << 15 | w
         out.append((key(home, free), every, True))
+        if not plan.budget:
+            continue
         off = np.flatnonzero(syndrome)
         for j in range(7):
             out.append((key(word[off] ^ DOUBLE[syndrome[off], j], free[off]), off, False))
@@ -106,11 +151,18 @@ def anchors(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out]), np.concatenate([np.full(len(x[1]), x[2]) for x in out])
 
 
-def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        fp = batch.column("fp").to_numpy()
-        anchor, row, home = anchors(fp)
-        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[row]), batch.column("rep").take(pa.array(row)), pa.array(home)], ["anchor", "fp", "rep", "home"])
+def replicate(plan: Plan):
+    """A row for each anchor of a fingerprint."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                fp = part.column("fp").to_numpy()
+                anchor, row, home = anchors(fp, plan)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fp[row]), part.column("rep").take(pa.array(row)), pa.array(home)], ["anchor", "fp", "rep", "home"])
+
+    return run
 
 
 def forest(fp: np.ndarray, bits: int) -> list[tuple[int, int]]:
@@ -158,15 +210,15 @@ def linked(bits: int):
     return compare
 
 
-def components(reps: DataFrame, bits: int, block: int) -> DataFrame:
+def components(reps: DataFrame, bits: int, block: int, plan: Plan | None = None) -> DataFrame:
     """node and component of the linked nodes of reps: fp (distinct) and rep, its node."""
-    if bits > 5:
-        raise ValueError("the blocks cover 5 differing bits at most")
-    replicas = reps.mapInArrow(replicate, "anchor bigint, fp bigint, rep bigint, home boolean")
+    if bits > BITS:
+        raise ValueError(f"the anchors cover {BITS} differing bits at most")
+    replicas = reps.mapInArrow(replicate(plan or plan_for(reps.count())), "anchor bigint, fp bigint, rep bigint, home boolean")
     return connected_components(compare_buckets(replicas, "anchor", "fp", block, linked(bits), "a bigint, b bigint"))
 
 
-def near_groups(docs: DataFrame, digest: Column, bits: int = 4, block: int = 20_000) -> DataFrame:
+def near_groups(docs: DataFrame, digest: Column, bits: int = BITS, block: int = 20_000) -> DataFrame:
     """doc_id, text_sha256 (digest) and kept of every row that has a near copy or a repeat.
 
     Here the fingerprints are the nodes, not the ids: null and repeated ids link like any other. Of each group the rows
@@ -181,10 +233,10 @@ def near_groups(docs: DataFrame, digest: Column, bits: int = 4, block: int = 20_
     return each.join(staged(firsts, "group-firsts"), "group").select("doc_id", "text_sha256", order.eqNullSafe(F.col("first")).alias("kept"))
 
 
-def near_duplicates(docs: DataFrame, bits: int = 4, words: int = 4, seed: int = 42, block: int = 20_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, bits: int = BITS, words: int = 4, seed: int = 42, block: int = 20_000) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id of every row of docs.
 
-    component_id is the smallest doc_id that links (at most `bits` differing bits, 5 at the most)
+    component_id is the smallest doc_id that links (at most `bits` differing bits, 4 at the most)
     reach, the row itself included; the row with doc_id = component_id stands for its group. Needs
     doc_id and text. Null and empty texts, and those without words, have fingerprint zero and are
     linked like any other. Rows with a null doc_id get the component of their fingerprint (null if no row has an id).
