@@ -118,8 +118,9 @@ def predict(text: str | None, model: Model) -> tuple[str, float, bool]:
     return model.languages[i], float(p[i]), bool(p[i] >= model.reject_below)
 
 
-def identify(docs: DataFrame, model: Model, added: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_accepted")) -> DataFrame:
-    """All columns of docs, with lang_pred, lang_score and lang_accepted, by the names in added, which docs mustn't have.
+def identify(docs: DataFrame, model: Model, added: tuple[str, str, str] = ("lang_pred", "lang_score", "lang_accepted"), keep: list[str] | None = None) -> DataFrame:
+    """The columns of docs (those in keep, if given), with lang_pred, lang_score and lang_accepted, by the names in added,
+    which docs mustn't have.
 
     A text that is null or has no letter is `und`, score 0, not accepted. If nothing could be learned every text
     with a letter is `und`, score 0, and accepted, as nothing tells against it."""
@@ -127,7 +128,7 @@ def identify(docs: DataFrame, model: Model, added: tuple[str, str, str] = ("lang
     if clash:
         raise ValueError(f"docs already has {clash}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = docs.columns
+    names = docs.columns if keep is None else keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -137,14 +138,15 @@ def identify(docs: DataFrame, model: Model, added: tuple[str, str, str] = ("lang
                 columns = [*(part.column(c) for c in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
-    return docs.mapInArrow(run, with_columns(docs, "{} string, {} double, {} boolean".format(*added)))
+    return docs.mapInArrow(run, with_columns(docs.select(names), "{} string, {} double, {} boolean".format(*added)))
 
 
 def languages(docs: DataFrame, per_language: int = 1200) -> DataFrame:
     """doc_id, held_out, lang_pred, score and accepted of every row; lang is read for learning alone.
 
-    Repeated rows each get a row, other columns are ignored, an empty table gives an empty one."""
-    named = identify(docs.select("doc_id", "text"), learn(docs, per_language))
+    Repeated rows and rows with a null id each get a row, other columns are ignored, an empty table gives an empty one.
+    Texts are read whole, however long."""
+    named = identify(docs.select("doc_id", "text"), learn(docs, per_language), keep=["doc_id"])
     return named.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_accepted").alias("accepted"))
 
 

@@ -2,7 +2,8 @@
 
 A text's features are the hashed n-grams that it has (n = 4 to 8, lower case), each worth
 r = log((p / |p|) / (q / |q|)), where p and q count the labelled texts of class 1 and 0 that have it, plus one.
-A logistic model with an L2 penalty is fitted on them by L-BFGS in numpy, on at most about
+A text that the model is fitted on doesn't count itself in its own ratios: else these would tell its label better than
+those of an unseen text do. A logistic model with an L2 penalty is fitted on them by L-BFGS in numpy, on at most about
 `max_rows` labelled rows. The model is one float for each bucket (4 MB) and a bias.
 """
 
@@ -86,14 +87,16 @@ def fit(rows: list[tuple[str, int]], penalty: float = 1.0, steps: int = 60) -> t
     for text, label in rows:
         (p if label else q)[presence(text)] += 1
     # a text's chance of having the n-gram, by class
-    ratio = np.log((p / (y.sum() + 2)) / (q / ((1 - y).sum() + 2)))
+    one, zero = y.sum() + 2, (1 - y).sum() + 2
+    ratio = np.log((p / one) / (q / zero))
     ratio[(p + q < 7) | (np.abs(ratio) < 1)] = 0  # in fewer than 5 texts, or about as common in both classes
     use = np.flatnonzero(ratio)
     place = np.full(1 << BITS, -1, np.int32)
     place[use] = np.arange(len(use))
     own = [x[x >= 0] for x in (place[presence(text)] for text, _ in rows)]
     column, row = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
-    value = ratio[use][column].astype(np.float32)
+    others = np.log(((p - 1).clip(1) / (one - 1)) / (q / zero)), np.log((p / one) / ((q - 1).clip(1) / (zero - 1)))
+    value = np.where(y[row] == 1, others[0][use][column], others[1][use][column]).astype(np.float32)
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
         z = np.bincount(row, value * w[column].astype(np.float32), len(y)) + w[-1]
@@ -115,46 +118,52 @@ def logit(text: str, weights: np.ndarray, bias: float) -> float:
 
 def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> tuple[np.ndarray, float]:
     """Fits on labelled rows outside the held-out quarter. A doc_id with several labels counts as toxic if one says so;
-    rows with a null label or id are left out. max_rows bounds the rows that reach the driver (to within chance)."""
+    rows with a null label or id are left out. max_rows bounds the rows that reach the driver (to within chance): ids
+    are drawn first, then, where these have more rows than that (an id may repeat), rows by id and text. Equal rows count once."""
     own = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = own.count()
     if not total:
         return fit([])
-    chosen = own.where(sampled(F.col("doc_id"), F.lit(min(1.0, max_rows / total))))
-    rows = texts(docs).where(sampled(F.col("doc_id"), F.lit(min(1.0, max_rows / total)))).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").toArrow()
-    rows = sorted(zip(*(rows.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True))
-    return fit([(text, label) for _, text, label in rows])
+    drawn = sampled(F.col("doc_id"), F.lit(min(1.0, max_rows / total)))
+    # so few ids that they can be broadcast
+    found = texts(docs).where(drawn).join(F.broadcast(own.where(drawn)), "doc_id").withColumn("h", F.xxhash64("text"))
+    rows = found.count()
+    if rows > max_rows:
+        found = found.where(sampled(F.struct("doc_id", "h"), F.lit(max_rows / rows)))
+    got = found.groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).toArrow()
+    return fit([(text, label) for _, text, label in sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True))])
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.3, added: tuple[str, str] = ("toxic_score", "toxic_predicted")) -> DataFrame:
-    """All columns of docs, with toxic_score (0 to 1) and toxic_predicted (1 from threshold on), by the names in added, which docs mustn't have.
+def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0.3, added: tuple[str, str] = ("toxic_score", "toxic_predicted"), keep: list[str] | None = None) -> DataFrame:
+    """The columns of docs (those in keep, if given), with toxic_score (0 to 1) and toxic_predicted (1 from threshold on),
+    by the names in added, which docs mustn't have.
 
     Null and empty texts have no n-grams but the blank ends: their score is the model's bias, about the share of toxic texts.
     Where nothing could be learned every text scores 0.001 and is predicted 0."""
+    clash = [c for c in added if unused(docs, c) != c]
+    if clash:
+        raise ValueError(f"docs already has {clash}")
     weights, bias = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)
-    full, names = unused(docs, "_text"), docs.columns
-    named = docs.withColumn(full, F.coalesce(F.col("text"), F.lit("")))
+    names = docs.columns if keep is None else keep
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, full):
-                z = [logit(t, shared.value, bias) for t in part.column(full).to_pylist()]
+            for part in slices(batch, "text"):
+                z = [logit(t or "", shared.value, bias) for t in part.column("text").to_pylist()]
                 p = 1 / (1 + np.exp(-np.clip(np.array(z), -500, 500)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, *added])
 
-    clash = [c for c in added if unused(docs, c) != c]
-    if clash:
-        raise ValueError(f"docs already has {clash}")
-    return named.mapInArrow(run, with_columns(docs, f"{added[0]} double, {added[1]} int"))
+    return docs.mapInArrow(run, with_columns(docs.select(names), f"{added[0]} double, {added[1]} int"))
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 8000) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs; see learn() and score().
 
-    Repeated rows each get a row, other columns are ignored, an empty table gives an empty one."""
+    Repeated rows and rows with a null id each get a row, other columns are ignored, an empty table gives an empty one.
+    Texts are read whole, however long."""
     own = docs.select("doc_id", "text")
-    scored = score(own, learn(own, labels, max_rows), threshold)
+    scored = score(own, learn(own, labels, max_rows), threshold, keep=["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
 
 
