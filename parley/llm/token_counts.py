@@ -43,25 +43,37 @@ def read_cache(spark: SparkSession, cache: str) -> DataFrame:
     return spark.read.schema(CACHE).parquet(cache)
 
 
-def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None, limit: int = 2048) -> DataFrame:
+def count_tokens(docs: DataFrame, tokenizer_path: str, cache: str | None = None, limit: int = 2048, few: int = 500_000) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of every row of docs.
 
     docs needs doc_id and text; other columns are ignored. A null text counts as empty (0 tokens),
     rows that repeat, or have a null doc_id, each get a row, an empty table gives an empty one.
     cache: folder of the cache table; None takes a new one. A re-run after a failure may append a
     digest twice; reading takes one of the equal rows.
+
+    With a filled cache digests alone are compared with it first, and up to `few` missing ones (32 bytes each) are
+    broadcast to the documents: only texts that must be encoded are shuffled.
     """
     spark = docs.sparkSession
     cache = cache or scratch(spark, "token-cache")
     version = tokenizer_version(tokenizer_path)
-    content = texts(docs).withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
-    known = read_cache(spark, cache).where(F.col("tokenizer") == version).select("digest")
-    # copies fall together before the shuffle, and the join then keeps that partitioning
-    distinct = content.groupBy("digest").agg(F.first("text").alias("text"))
-    misses = distinct.join(known, "digest", "left_anti")
-    counted = misses.mapInArrow(count_batches(tokenizer_path), "digest string, n_tokens bigint")
-    counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
-    counts = read_cache(spark, cache).where(F.col("tokenizer") == version).groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    content = texts(docs).withColumn("digest", F.unhex(digest))
+    known = read_cache(spark, cache).where(F.col("tokenizer") == version).select(F.unhex("digest").alias("digest"), "n_tokens")
+    filled = not known.isEmpty()
+    wanted = content
+    if filled:
+        mine = staged(content.select("digest").distinct(), "token-digests")
+        missing = staged(mine.join(known, "digest", "left_anti"), "token-misses")
+        wanted = content.join(F.broadcast(missing) if missing.count() <= few else missing, "digest", "left_semi")
+    # copies fall together before the shuffle
+    misses = wanted.groupBy("digest").agg(F.first("text").alias("text"))
+    counted = misses.mapInArrow(count_batches(tokenizer_path), "digest binary, n_tokens bigint")
+    counted.select(F.lit(version).alias("tokenizer"), F.lower(F.hex("digest")).alias("digest"), "n_tokens").write.mode("append").parquet(cache)
+    counts = read_cache(spark, cache).where(F.col("tokenizer") == version).select(F.unhex("digest").alias("digest"), "n_tokens")
+    if filled:  # of a large cache only what these documents need
+        counts = counts.join(mine, "digest", "left_semi")
+    counts = counts.groupBy("digest").agg(F.first("n_tokens").alias("n_tokens"))
     sized = content.select("doc_id", "digest", F.octet_length("text").cast("bigint").alias("n_bytes"))
     # both sides are plain scans before the join, so that a digest with many rows can be split
     return sized.join(staged(counts, "token-counts"), "digest").select(
