@@ -15,6 +15,10 @@ from functools import lru_cache
 import numpy as np
 
 
+#: Entries of a table: some 200 bytes each, in every Python worker.
+LIMIT = 150_000
+
+
 def packed(ids: Iterable[int]) -> bytes:
     return array("I", ids).tobytes()
 
@@ -22,7 +26,7 @@ def packed(ids: Iterable[int]) -> bytes:
 class ChunkTable(dict):
     """chunk -> row; rows hold the chunk's ids. encode: list of chunks -> the packed ids of each."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = 500_000, limit_bytes: int = 64 << 20):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], limit: int = LIMIT, limit_bytes: int = 64 << 20):
         super().__init__()
         self.encode, self.limit, self.limit_bytes = encode, limit, limit_bytes
         self.reset()
@@ -99,7 +103,7 @@ class WordTokenizer:
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
         """A new chunk such as `word.` is a run of letters and what follows: two parts, each encoded once.
         Chunks of any other kind are encoded whole."""
-        if len(self.parts) > 500_000:
+        if len(self.parts) > LIMIT:
             self.parts.clear()
         known, lower, out, other = self.parts.get, self.lower, [], []
         for c in chunks:

@@ -115,14 +115,14 @@ def pack(pieces: DataFrame, size: int = 2048, slack: int = 2, per_partition: int
     items = staged(items, "pack-items")
     done.append(items.where(F.col("fill") >= size - slack))
     items = items.where(F.col("fill") < size - slack)
-    n, rounds = items.count(), 0
+    n = items.count()
     while n:
         tasks = -(-n // per_partition)
-        # by length's hash within the round: every task gets items of all lengths
-        dealt = items.repartition(tasks, F.xxhash64(F.col("members")[0], F.lit(rounds)))
+        # by turns, not by a key: equal items are spread, and every task gets items of all lengths
+        dealt = items.repartition(tasks)
         bins = staged(dealt.mapInArrow(pack_round(size), BINS), "pack-bins")
         left = bins.where(F.col("fill") < size - slack)
-        before, n, rounds = n, left.count(), rounds + 1
+        before, n = n, left.count()
         if tasks == 1 or n > 0.95 * before:
             done.append(bins)
             break

@@ -169,7 +169,7 @@ def token_file_digests(spark: SparkSession, path: str) -> DataFrame:
 
 def _read(spark: SparkSession, path: str, schema: str, last) -> DataFrame:
     blocks = spark.read.schema(FORMAT).parquet(path)
-    # a row for each part of the files: so few that one window may order them
+    # a row for each part of the files, so as many as write tasks: few enough for one window and a broadcast
     parts = blocks.groupBy("part").agg(F.sum("n_ids").alias("own"))
     before = parts.select("part", (F.sum("own").over(Window.orderBy("part")) - F.col("own")).alias("before"))
     names = [c.split()[0] for c in schema.split(", ")]
