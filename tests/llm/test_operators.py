@@ -166,27 +166,53 @@ def test_simhash(docs, none):
     assert rows(simhash.near_duplicates(none)) == []
 
 
-def test_anchors_cover():
-    """Any two fingerprints with 5 differing bits or fewer: one's home is among the other's anchors."""
-    rng = np.random.default_rng(3)
-    x = rng.integers(0, 2**63, 300, dtype=np.int64)
-    y = x.copy()
+def near_bits(rng, x, most):
+    """x with up to most bits flipped in each."""
+    y = x.view(np.uint64).copy()
     for k in range(len(y)):
-        for bit in rng.choice(64, k % 6, replace=False):
-            y[k] ^= np.int64(1) << np.int64(bit) if bit < 63 else np.int64(-(2**63))
-    (ax, px, hx), (ay, py, _) = simhash.anchors(x), simhash.anchors(y)
+        for bit in rng.choice(64, k % (most + 1), replace=False):
+            y[k] ^= np.uint64(1) << np.uint64(bit)
+    return y.view(np.int64)
+
+
+@pytest.mark.parametrize("plan", simhash.PLANS)
+def test_anchors_cover(plan):
+    """Any two fingerprints with 4 differing bits or fewer: one's home is among the other's anchors."""
+    rng = np.random.default_rng(3)
+    x = rng.integers(-(2**63), 2**63 - 1, 300, dtype=np.int64)
+    y = near_bits(rng, x, 4)
+    (ax, px, hx), (ay, py, _) = simhash.anchors(x, plan), simhash.anchors(y, plan)
     for k in range(len(x)):
         assert set(ax[(px == k) & hx]) & set(ay[py == k])
+    assert len(ax) / len(x) == pytest.approx(plan.replicas, rel=0.05)
 
 
-@pytest.mark.parametrize("block", [20_000, 7])
-def test_links_of_large_groups(spark, block):
+def test_anchors_follow_the_table():
+    """How many others a fingerprint is compared with stays bounded as the table grows."""
+    rng = np.random.default_rng(4)
+    for n in (20_000, 80_000, 320_000):
+        plan = simhash.plan_for(n)
+        met = 0
+        fp = rng.integers(-(2**63), 2**63 - 1, n, dtype=np.int64)
+        pairs = [simhash.anchors(fp[at : at + 20_000], plan)[::2] for at in range(0, n, 20_000)]
+        anchor, home = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        order = np.argsort(anchor, kind="stable")
+        anchor, home = anchor[order], home[order]
+        first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+        met = (np.add.reduceat(home.astype(np.int64), first) * np.diff(np.append(first, len(anchor)))).sum() / n
+        own = home.sum() / n
+        assert met - own < 60
+    assert [simhash.plan_for(10**k).compared(10**k) < 60 for k in range(3, 11)] == [True] * 8
+
+
+@pytest.mark.parametrize("block, plan", [(20_000, 0), (7, 0), (20_000, 1), (7, 2)])
+def test_links_of_large_groups(spark, block, plan):
     """Chains and cliques of fingerprints, also with buckets cut into chunks."""
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2**62, 40, dtype=np.int64)
     fp = np.unique(np.concatenate([base] + [base[:4] ^ (np.int64(1) << np.int64(a)) ^ (np.int64(1) << np.int64(b)) for a in range(0, 60, 7) for b in range(3, 60, 11) if a != b]))
     reps = spark.createDataFrame([(int(f), i) for i, f in enumerate(fp)], "fp bigint, rep bigint")
-    replicas = reps.mapInArrow(simhash.replicate, "anchor bigint, fp bigint, rep bigint, home boolean")
+    replicas = reps.mapInArrow(simhash.replicate(simhash.PLANS[plan]), "anchor bigint, fp bigint, rep bigint, home boolean")
     edges = simhash.compare_buckets(replicas, "anchor", "fp", block, simhash.linked(4), "a bigint, b bigint").collect()
     pairs = [(a, b) for a in range(len(fp)) for b in range(a) if (int(fp[a]) ^ int(fp[b])).bit_count() <= 4]
     assert components(fp, [(r["a"], r["b"]) for r in edges]) == components(fp, pairs)
@@ -219,6 +245,30 @@ def test_vectors(spark, block):
     assert embedding_dedup.near_vectors(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("width", [16, 64, 256, 1024])
+@pytest.mark.parametrize("n", [10_000, 10**9])
+def test_vector_recall(width, n):
+    """Pairs at cosine exactly 0.95, 0.96 and 0.97 that share a bucket, one of them with its first choice: planned for few and for many vectors."""
+    how, rng = embedding_dedup.plan(n, width), np.random.default_rng(8)
+    assert how.tables * how.probes * n / float(2 * embedding_dedup.wide(width)) ** how.rotations < 60 or how.rotations == 5
+    for cosine in (0.95, 0.96, 0.97):
+        x, y = rng.normal(size=(2, 400, width))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        y -= (x * y).sum(axis=1)[:, None] * x
+        y = cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1)[:, None]
+        a, b = (embedding_dedup.cross_polytope(v, how, 11) for v in (x, y))
+        met = ((a[:, :, :1] == b).any(axis=2) | (b[:, :, :1] == a).any(axis=2)).any(axis=1)
+        assert met.mean() >= 0.95
+
+
+def test_vectors_of_any_size_and_width(spark):
+    data = [(0, [1e200, 1e200]), (1, [2e-200, 2e-200]), (2, [1e308, -1e308]), (3, [5e-324, -5e-324]), (4, [1.0, 0.0, 0.0]), (5, [2.0, 0.0, 0.0]), (6, [3.0]), (7, [-4.0]), (8, [0.5])]
+    df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
+    for expected in (None, 10**8):
+        found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_vectors(df, expected=expected).collect()}
+        assert found == {0: (1, 0), 1: (1, 0), 2: (1, 2), 3: (1, 2), 4: (1, 4), 5: (1, 4), 6: (1, 6), 7: (0, 7), 8: (1, 6)}
+
+
 def test_minimum_cut():
     rng = np.random.default_rng(4)
     for _ in range(30):
