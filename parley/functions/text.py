@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: what counts as white space when trimming (fixed value)
 SPACE = r"[\t\n\x0B\f\r\x1C-\x1F\p{Z}]"
+#: the same characters, for Python: those named above, and all of Unicode's separators (categories Z*)
+SPACE_CHARACTERS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f" + "".join(c for c in map(chr, range(0x3001)) if unicodedata.category(c)[0] == "Z")
 
 
 def trim(x: Column) -> Column:
