@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.text import trim
-from parley.schema import MESSAGE_COLUMNS
+from parley.schema import IMPORTED, IMPORTED_END, MESSAGE_COLUMNS
 
 
 def merge(current: DataFrame, imported: DataFrame) -> DataFrame:
@@ -41,7 +41,7 @@ def toggle(messages: DataFrame, keys: DataFrame) -> DataFrame:
 
 def import_notice(messages: DataFrame) -> DataFrame:
     counted = messages.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    return counted.select("conv_id", F.concat(F.lit("Imported history: "), F.col("n").cast("string"), F.lit(" messages.")).alias("notice"))
+    return counted.select("conv_id", F.concat(F.lit(IMPORTED), F.col("n").cast("string"), F.lit(IMPORTED_END)).alias("notice"))
 
 
 def sendable(drafts: DataFrame) -> DataFrame:

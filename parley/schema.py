@@ -14,3 +14,6 @@ HISTORY = T.StructType([T.StructField("version", T.IntegerType(), False), T.Stru
 VERSION = 1
 MESSAGE_COLUMNS = ["conv_id", "pos", "id", "author", "text", "is_favorite"]
 RESPONSE = "struct<choices: array<struct<message: struct<role: string, content: string>>>>"
+#: What is said of imports and exports (fixed values).
+IMPORTED, IMPORTED_END, IMPORT_FAILED = "Imported history: ", " messages.", "Import failed. Invalid file."
+EXPORTED, EXPORT_FAILED = "History exported to ", "Export failed. Please try again."

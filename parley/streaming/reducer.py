@@ -1,22 +1,29 @@
 """Replaying actions into conversation state: one fold for bounded logs, the same rules for streams.
 
-Actions: (conv_id, seq, action, text, message_id, messages). seq orders a conversation's actions.
+Actions: (conv_id, seq, action, text, message_id, messages). seq orders a conversation's actions. Null texts count
+as empty, null messages as none.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from parley.functions.text import SPACE
+from parley.functions.text import SPACE, SPACE_CHARACTERS
+from parley.schema import EXPORT_FAILED, EXPORTED, IMPORT_FAILED, IMPORTED, IMPORTED_END
 
 MESSAGE = "struct<id: string, author: string, text: string, is_favorite: boolean>"
 ACTIONS = f"conv_id bigint, seq bigint, action string, text string, message_id string, messages array<{MESSAGE}>"
 STATE = f"struct<messages: array<{MESSAGE}>, draft: string, loading: boolean, failed: boolean, favorites_only: boolean, events: array<string>>"
-SUMMARY = "conv_id bigint, n_messages bigint, draft string, loading boolean, failed boolean, favorites_only boolean, n_events bigint"
+#: what the stream gives: rows of kind `state` (after a batch that changed it) and of kind `event` (each once)
+OUTPUT = "conv_id bigint, kind string, seq bigint, n_messages bigint, draft string, loading boolean, failed boolean, favorites_only boolean, event string"
+FLAGS = "draft string, loading boolean, failed boolean, favorites_only boolean, n_messages bigint"
+#: an event: the view goes to its last row
+SCROLL = "scroll"
 
 
 def _trim(x: str) -> str:
@@ -33,22 +40,22 @@ def _message(author: str, text: str) -> str:
 
 
 def _step() -> str:
-    draft = _trim("s.draft")
+    draft, brought = _trim("s.draft"), f"coalesce(a.messages, cast(array() as array<{MESSAGE}>))"
     said = lambda text: f"concat(s.events, array({text}))"
     cases = {
         "a.action in ('InputChanged', 'VoiceTranscribed')": _state(draft="coalesce(a.text, '')"),
-        f"a.action = 'SendClicked' and {draft} <> '' and not s.loading": _state(messages=f"concat(s.messages, array({_message('USER', draft)}))", draft="''", loading="true", failed="false", events=said("'scroll'")),
-        "a.action = 'ReplyReceived'": _state(messages=f"concat(s.messages, array({_message('ASSISTANT', "coalesce(a.text, '')")}))", loading="false", failed="false", events=said("'scroll'")),
+        f"a.action = 'SendClicked' and {draft} <> '' and not s.loading": _state(messages=f"concat(s.messages, array({_message('USER', draft)}))", draft="''", loading="true", failed="false", events=said(f"'{SCROLL}'")),
+        "a.action = 'ReplyReceived'": _state(messages=f"concat(s.messages, array({_message('ASSISTANT', "coalesce(a.text, '')")}))", loading="false", failed="false", events=said(f"'{SCROLL}'")),
         "a.action = 'ReplyFailed'": _state(loading="false", failed="true"),
         "a.action = 'FavoriteToggled'": _state(
             messages="transform(s.messages, m -> named_struct('id', m.id, 'author', m.author, 'text', m.text, 'is_favorite', if(m.id = a.message_id, not m.is_favorite, m.is_favorite)))"
         ),
         "a.action = 'FavoritesFilterToggled'": _state(favorites_only="not s.favorites_only"),
-        "a.action = 'Exported'": _state(events=said("concat('History exported to ', a.text)")),
-        "a.action = 'ExportFailed'": _state(events=said("'Export failed. Please try again.'")),
-        "a.action = 'Imported'": _state(messages="a.messages", events="concat(s.events, array(concat('Imported history: ', size(a.messages), ' messages.'), 'scroll'))"),
-        "a.action = 'ImportFailed'": _state(events=said("'Import failed. Invalid file.'")),
-        "a.action = 'HistoryLoaded'": _state(messages="a.messages", events=said("'scroll'")),
+        "a.action = 'Exported'": _state(events=said(f"concat('{EXPORTED}', coalesce(a.text, ''))")),
+        "a.action = 'ExportFailed'": _state(events=said(f"'{EXPORT_FAILED}'")),
+        "a.action = 'Imported'": _state(messages=brought, events=f"concat(s.events, array(concat('{IMPORTED}', size({brought}), '{IMPORTED_END}'), '{SCROLL}'))"),
+        "a.action = 'ImportFailed'": _state(events=said(f"'{IMPORT_FAILED}'")),
+        "a.action = 'HistoryLoaded'": _state(messages=brought, events=said(f"'{SCROLL}'")),
     }
     return "case " + " ".join(f"when {k} then {v}" for k, v in cases.items()) + " else s end"
 
@@ -67,55 +74,101 @@ def summary(states: DataFrame) -> DataFrame:
     return states.select("conv_id", F.size("state.messages").cast("bigint").alias("n_messages"), "state.draft", "state.loading", "state.failed", "state.favorites_only", F.size("state.events").cast("bigint").alias("n_events"))
 
 
-def apply(state: dict, a: dict) -> dict:
-    """One action on a state, for streams; equals a step of replay()."""
-    s, kind, text = dict(state), a["action"], a.get("text") or ""
-    event = lambda *x: [*state["events"], *x]
-    added = lambda author, t: [*state["messages"], {"id": f"{a['conv_id']}-{a['seq']}", "author": author, "text": t, "is_favorite": False}]
-    if kind in ("InputChanged", "VoiceTranscribed"):
-        s |= {"draft": text}
-    elif kind == "SendClicked" and (draft := state["draft"].strip()) and not state["loading"]:
-        s |= {"messages": added("USER", draft), "draft": "", "loading": True, "failed": False, "events": event("scroll")}
-    elif kind == "ReplyReceived":
-        s |= {"messages": added("ASSISTANT", text), "loading": False, "failed": False, "events": event("scroll")}
-    elif kind == "ReplyFailed":
-        s |= {"loading": False, "failed": True}
-    elif kind == "FavoriteToggled":
-        s |= {"messages": [m | {"is_favorite": m["is_favorite"] != (m["id"] == a.get("message_id"))} for m in state["messages"]]}
-    elif kind == "FavoritesFilterToggled":
-        s |= {"favorites_only": not state["favorites_only"]}
-    elif kind in ("Exported", "ExportFailed", "ImportFailed"):
-        s |= {"events": event({"Exported": f"History exported to {text}", "ExportFailed": "Export failed. Please try again.", "ImportFailed": "Import failed. Invalid file."}[kind])}
-    elif kind == "Imported":
-        s |= {"messages": list(a["messages"]), "events": event(f"Imported history: {len(a['messages'])} messages.", "scroll")}
-    elif kind == "HistoryLoaded":
-        s |= {"messages": list(a["messages"]), "events": event("scroll")}
-    return s
-
-
-EMPTY = {"messages": [], "draft": "", "loading": False, "failed": False, "favorites_only": False, "events": []}
+def events(states: DataFrame) -> DataFrame:
+    """The events of each conversation, in order: conv_id, at (from 0), event."""
+    return states.select("conv_id", F.posexplode("state.events").alias("at", "event")).withColumn("at", F.col("at").cast("bigint"))
 
 
-def replay_stream(actions: DataFrame) -> DataFrame:
-    """Summaries of conversations whose state a micro-batch changed. The state is kept as one JSON text a
-    conversation; actions that come in one batch are applied in order of seq."""
-    import json
+EMPTY = {"draft": "", "loading": False, "failed": False, "favorites_only": False, "n_messages": 0}
 
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state = before = json.loads(held.get[0]) if held.exists else EMPTY
-        rows = [r for f in frames for r in f.to_dict("records")]
-        for a in sorted(rows, key=lambda r: r["seq"]):
+def apply(flags: dict, a: dict) -> tuple[dict, tuple | None, list[str]]:
+    """One action on a conversation's flags: the new flags, what happens to its messages (append a message, toggle an
+    id, replace all by others; or None), and the events. Equals a step of replay()."""
+    kind, text, brought = a["action"], a.get("text") or "", a.get("messages") or []
+    said = lambda author, t: {"id": f"{a['conv_id']}-{a['seq']}", "author": author, "text": t, "is_favorite": False}
+    more = {"n_messages": flags["n_messages"] + 1}
+    if kind in ("InputChanged", "VoiceTranscribed"):
+        return flags | {"draft": text}, None, []
+    if kind == "SendClicked" and (draft := flags["draft"].strip(SPACE_CHARACTERS)) and not flags["loading"]:
+        return flags | more | {"draft": "", "loading": True, "failed": False}, ("append", said("USER", draft)), [SCROLL]
+    if kind == "ReplyReceived":
+        return flags | more | {"loading": False, "failed": False}, ("append", said("ASSISTANT", text)), [SCROLL]
+    if kind == "ReplyFailed":
+        return flags | {"loading": False, "failed": True}, None, []
+    if kind == "FavoriteToggled":
+        return flags, ("toggle", a.get("message_id")), []
+    if kind == "FavoritesFilterToggled":
+        return flags | {"favorites_only": not flags["favorites_only"]}, None, []
+    if kind in ("Imported", "HistoryLoaded"):
+        notice = [f"{IMPORTED}{len(brought)}{IMPORTED_END}"] if kind == "Imported" else []
+        return flags | {"n_messages": len(brought)}, ("replace", brought), [*notice, SCROLL]
+    notices = {"Exported": EXPORTED + text, "ExportFailed": EXPORT_FAILED, "ImportFailed": IMPORT_FAILED}
+    return flags, None, [notices[kind]] if kind in notices else []
+
+
+def plain(rows: Iterable[pd.DataFrame]) -> list[dict]:
+    """A batch's actions in order of seq, nulls as None and messages as dicts."""
+    out = []
+    for frame in rows:
+        for a in frame.to_dict("records"):
             messages = a.get("messages")
-            a["messages"] = [dict(m) for m in messages] if messages is not None else []
-            a["text"] = a["text"] if isinstance(a["text"], str) else ""
-            state = apply(state, a)
-        held.update((json.dumps(state),))
-        if state != before:
-            yield pd.DataFrame([{"conv_id": key[0], "n_messages": len(state["messages"]), **{k: state[k] for k in ("draft", "loading", "failed", "favorites_only")}, "n_events": len(state["events"])}])
-
-    return actions.groupBy("conv_id").applyInPandasWithState(run, SUMMARY, "state string", "update", GroupStateTimeout.NoTimeout)
+            a["messages"] = [m.asDict() if isinstance(m, Row) else dict(m) for m in messages] if messages is not None and not isinstance(messages, float) else []
+            out.append(a | {k: a[k] if isinstance(a[k], str) else None for k in ("text", "message_id")})
+    return sorted(out, key=lambda a: a["seq"])
+
+
+class Conversation(StatefulProcessor):
+    """Flags in one value, messages in a map by their place: a batch writes only what it changes."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.flags = handle.getValueState("flags", FLAGS)
+        self.messages = handle.getMapState("messages", "pos bigint", "id string, author string, text string, is_favorite boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = self.flags.get() if self.flags.exists() else None
+        before = flags = dict(zip(EMPTY, held, strict=True)) if held else EMPTY
+        changed, out, seq = False, [], None
+        for a in plain(rows):
+            n, seq = flags["n_messages"], a["seq"]
+            flags, edit, said = apply(flags, a)
+            changed = self.edit(edit, n) or changed
+            out += [{"conv_id": key[0], "kind": "event", "seq": seq, "event": x} for x in said]
+        self.flags.update(tuple(flags[k] for k in EMPTY))
+        if changed or flags != before:
+            out.append({"conv_id": key[0], "kind": "state", "seq": seq, **flags})
+        names = [c.split()[0] for c in OUTPUT.split(", ")]
+        if out:
+            yield pd.DataFrame([{n: x.get(n) for n in names} for x in out], columns=names).astype({"n_messages": "Int64", "loading": "boolean", "failed": "boolean", "favorites_only": "boolean"})
+
+    def edit(self, what: tuple | None, n: int) -> bool:
+        """Whether it changed a message. n: how many there were."""
+        row = lambda m: (m["id"], m["author"], m["text"], m["is_favorite"])
+        match what:
+            case ("append", message):
+                self.messages.updateValue((n,), row(message))
+            case ("toggle", wanted):
+                hit = [(pos, m) for pos, m in self.messages.iterator() if m[0] == wanted]
+                for pos, m in hit:
+                    self.messages.updateValue(tuple(pos), (*m[:3], not m[3]))
+                return bool(hit)
+            case ("replace", messages):
+                self.messages.clear()
+                for pos, message in enumerate(messages):
+                    self.messages.updateValue((pos,), row(message))
+            case _:
+                return False
+        return True
+
+    def close(self) -> None:
+        pass
+
+
+def replay_stream(actions: DataFrame) -> DataFrame:
+    """Rows of OUTPUT: the state of each conversation that a micro-batch changed, and the events of the batch, each once.
+    Actions that come in one batch are applied in order of seq. Needs the RocksDB state store, which it sets for the session."""
+    actions.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return actions.groupBy("conv_id").transformWithStateInPandas(Conversation(), OUTPUT, "Update", "None")
 
 
 def log_of(messages: DataFrame) -> DataFrame:
