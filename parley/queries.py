@@ -140,11 +140,55 @@ def history_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROUNDTRIP = f"SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY pos) - 1 AS pos, id, author, text, is_favorite FROM ({MESSAGES})"
 
 
+OLD = [("old-1", "USER", "before", True), ("old-2", "ASSISTANT", "then", False)]
+
+
+def all_actions(m: DataFrame) -> DataFrame:
+    """The log of each history with every other kind of action around it: histories are loaded or imported first; then, by
+    conversation, failures, notices, toggles and a transcript follow."""
+    brought = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(("id", "author", "text", "is_favorite"), row, strict=True))) for row in OLD))
+    none = F.lit(None).cast("string")
+    before = [("HistoryLoaded", none, none, F.slice(brought, 1, 1)), ("ImportRequested", F.lit("{}"), none, None), ("Imported", none, none, brought)]
+    after = [
+        ("ReplyFailed", none, none, None), ("FavoritesFilterToggled", none, none, None), ("FavoriteToggled", none, F.lit("old-2"), None), ("FavoriteToggled", none, F.lit("none"), None), ("ExportClicked", none, none, None),
+        ("Exported", F.lit("/x.json"), none, None), ("ExportFailed", none, none, None), ("ImportFailed", none, none, None), ("VoiceTranscribed", F.lit(" said \u0085"), none, None),
+    ]
+    some = lambda i, row: F.struct((F.lit(i).cast("bigint")).alias("seq"), F.lit(row[0]).alias("action"), row[1].alias("text"), row[2].alias("message_id"), (F.lit(None) if row[3] is None else row[3]).cast(f"array<{reducer.MESSAGE}>").alias("messages"))
+    conversations = m.select("conv_id").distinct()
+    first = conversations.select("conv_id", F.explode(F.array(*(some(i - 10, r) for i, r in enumerate(before)))).alias("e"))
+    last = conversations.where("conv_id % 2 = 0").select("conv_id", F.explode(F.array(*(some(10**6 + i, r) for i, r in enumerate(after)))).alias("e"))
+    return reducer.log_of(m).unionByName(first.unionByName(last).select("conv_id", "e.*"))
+
+
 def reducer_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reducer.summary(reducer.replay(reducer.log_of(messages(spark, sf_dir))))
+    """Final states, with the number and text of all messages and events."""
+    states = reducer.replay(all_actions(messages(spark, sf_dir)))
+    marked = F.array_join(F.transform(F.filter("state.messages", lambda x: x["is_favorite"]), lambda x: x["id"]), ",")
+    more = states.select("conv_id", marked.alias("favorites"), F.array_join("state.events", "|").alias("events"), F.array_join("state.messages.text", "|").alias("texts"))
+    return reducer.summary(states).join(more, "conv_id")
+
+
+REPLAY = f"""WITH s AS (SELECT conv_id, conv_id % 2 = 0 AS more, count(*) AS n, arg_max(author, pos) = 'USER' AS waiting, string_agg(regexp_replace(text, '^{{S}}+|{{S}}+$', '', 'g'), '|' ORDER BY pos) AS said, string_agg('scroll', '|') AS scrolls FROM ({MESSAGES}) GROUP BY conv_id)
+SELECT conv_id, n + 2 AS n_messages, CASE WHEN more THEN ' said ' || chr(133) ELSE '' END AS draft, waiting AND NOT more AS loading, more AS failed, more AS favorites_only, n + 3 + CASE WHEN more THEN 3 ELSE 0 END AS n_events,
+    CASE WHEN more THEN 'old-1,old-2' ELSE 'old-1' END AS favorites, 'scroll|Imported history: 2 messages.|scroll|' || scrolls || CASE WHEN more THEN '|History exported to /x.json|Export failed. Please try again.|Import failed. Invalid file.' ELSE '' END AS events, 'before|then|' || said AS texts FROM s""".replace("{S}", SPACES)
+
+
+def reducer_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reducer.events(reducer.replay(all_actions(messages(spark, sf_dir))))
+
+
+EVENTS = f"""WITH e AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY place, k) - 1 AS at, event FROM (
+    SELECT DISTINCT conv_id, -10 AS place, unnest([0, 1, 2]) AS k, unnest(['scroll', 'Imported history: 2 messages.', 'scroll']) AS event FROM ({MESSAGES})
+    UNION ALL SELECT conv_id, pos, 0, 'scroll' FROM ({MESSAGES})
+    UNION ALL SELECT DISTINCT conv_id, 1000000, unnest([0, 1, 2]), unnest(['History exported to /x.json', 'Export failed. Please try again.', 'Import failed. Invalid file.']) FROM ({MESSAGES}) WHERE conv_id % 2 = 0))
+SELECT * FROM e"""
 
+PAYLOAD = f"""WITH m AS (SELECT conv_id, pos, author, {{'role': CASE author WHEN 'ASSISTANT' THEN 'assistant' ELSE 'user' END, 'content': text}} AS m FROM ({MESSAGES})),
+w AS (SELECT conv_id, pos, author, list(m) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS sent FROM m)
+SELECT conv_id, pos, CAST(to_json({{'model': '{MODEL}', 'messages': list_concat([{{'role': 'system', 'content': '{SYSTEM}'}}], sent), 'stream': false}}) AS VARCHAR) AS payload FROM w WHERE author = 'USER'"""
 
-REPLAY = f"""SELECT conv_id, count(*) AS n_messages, '' AS draft, arg_max(author, pos) = 'USER' AS loading, false AS failed, false AS favorites_only, count(*) AS n_events FROM ({MESSAGES}) GROUP BY conv_id"""
+EXPORT = f"""SELECT conv_id, '{{' || chr(10) || '  "version" : 1,' || chr(10) || '  "messages" : [ ' || string_agg('{{' || chr(10) || '    "id" : ' || to_json(id) || ',' || chr(10) || '    "author" : ' || to_json(author) || ',' || chr(10)
+    || '    "text" : ' || to_json(text) || ',' || chr(10) || '    "isFavorite" : ' || to_json(is_favorite) || chr(10) || '  }}', ', ' ORDER BY pos) || ' ]' || chr(10) || '}}' AS json FROM ({MESSAGES}) GROUP BY conv_id"""
 
 VOICE = [
     (1, 1, "start", None, None, True, True), (1, 2, "partial", ["hel"], None, None, None), (1, 3, "partial", ["hello", "hallo"], None, None, None), (1, 4, "final", ["hello there"], None, None, None), (1, 5, "partial", ["  "], None, None, None),
@@ -204,16 +248,107 @@ def _lines_sql(name: str, rows: list[str]) -> str:
 
 
 def wire_include(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = spark.createDataFrame([("settings", "// Feature modules", 'include(":feature:c")')], "file string, section string, new string")
-    return scaffold.wire_include(_lines(spark, "settings", SETTINGS), plan)
+    """Lines for two sections, a section that isn't there, and a line that is."""
+    plan = [("// Feature modules", 'include(":feature:c")'), ("// Feature modules", 'include(":feature:aa")'), ("// Core modules", 'include(":core:b")'), ("// None", 'include(":z")'), ("// Core modules", 'include(":feature:b")')]
+    return scaffold.wire_include(_lines(spark, "settings", SETTINGS), spark.createDataFrame([("settings", *p) for p in plan], "file string, section string, new string"))
 
 
 def wire_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scaffold.wire_import(_lines(spark, "all", AGGREGATE), spark.createDataFrame([("all", "import org.example.c.cModule")], "file string, new string"))
+    new = ["import org.example.c.cModule", "import org.example.b.bModule", "import zz", "import org.example.a.aModule"]
+    return scaffold.wire_import(_lines(spark, "all", AGGREGATE), spark.createDataFrame([("all", n) for n in new], "file string, new string"))
 
 
 def wire_entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scaffold.wire_entry(_lines(spark, "all", AGGREGATE), spark.createDataFrame([("all", "cModule")], "file string, new string"))
+    return scaffold.wire_entry(_lines(spark, "all", AGGREGATE), spark.createDataFrame([("all", n) for n in ("cModule", "bModule", "aModule")], "file string, new string"))
+
+
+WIRED = [("all", "import org.example.c.cModule", "cModule"), ("all", "import org.example.a.aModule", "aModule"), ("none", "import org.example.a.aModule", "aModule")]
+
+
+def wire_module(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = _lines(spark, "all", AGGREGATE).unionByName(_lines(spark, "none", AGGREGATE))
+    return scaffold.wire_module(both, spark.createDataFrame(WIRED, "file string, import_line string, entry string"))
+
+
+def wire_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = _lines(spark, "all", AGGREGATE).unionByName(_lines(spark, "none", AGGREGATE))
+    changes = scaffold.wire_changes(both, spark.createDataFrame(WIRED, "file string, import_line string, entry string"))
+    return changes.withColumn("added", F.array_join("added", "|"))
+
+
+FEATURES = [("org.example.feature.sleep_timer", "sleep_timer", "SleepTimer", "sleepTimer", True, True, True), ("org.example.feature.a", "a", "Extra", "extra", False, True, False), ("org.example.feature.b", "b", "B", "b", True, False, True), ("org.example.feature.c", "c", "C", "c", False, False, False)]
+EXISTING = [("di/BModule.kt", "factoryOf(::BRepositoryImpl)")]
+
+
+def module_files(spark: SparkSession, sf_dir: str, force: bool = False) -> DataFrame:
+    wanted = spark.createDataFrame(FEATURES, "package string, feature string, pascal string, camel string, has_data boolean, has_domain boolean, has_presentation boolean")
+    made = scaffold.modules(wanted, spark.createDataFrame(EXISTING, "path string, content string"), force)
+    return made.withColumn("pending", F.array_join("pending", "|"))
+
+
+_TIMER = """package org.example.feature.sleep_timer.di
+
+import org.example.feature.sleep_timer.data.repository.SleepTimerRepositoryImpl
+import org.example.feature.sleep_timer.domain.repository.SleepTimerRepository
+import org.example.feature.sleep_timer.domain.usecase.SleepTimerUseCase
+import org.example.feature.sleep_timer.presentation.SleepTimerViewModel
+import org.koin.core.annotation.KoinExperimentalAPI
+import org.koin.core.module.Module
+import org.koin.core.module.dsl.factoryOf
+import org.koin.core.module.dsl.viewModelOf
+import org.koin.dsl.bind
+import org.koin.dsl.module
+
+@OptIn(KoinExperimentalAPI::class)
+val sleepTimerModule: Module = module {
+    factoryOf(::SleepTimerRepositoryImpl) bind SleepTimerRepository::class
+    factoryOf(::SleepTimerUseCase)
+    viewModelOf(::SleepTimerViewModel)
+}
+"""
+_EXTRA = """package org.example.feature.a.di
+
+import org.example.feature.a.domain.usecase.ExtraUseCase
+import org.koin.core.module.Module
+import org.koin.core.module.dsl.factoryOf
+import org.koin.dsl.module
+
+val aModule: Module = module {
+    factoryOf(::ExtraUseCase)
+}
+"""
+_FORCED = """package org.example.feature.b.di
+
+import org.example.feature.b.data.repository.BRepositoryImpl
+import org.example.feature.b.domain.repository.BRepository
+import org.example.feature.b.presentation.BViewModel
+import org.koin.core.annotation.KoinExperimentalAPI
+import org.koin.core.module.Module
+import org.koin.core.module.dsl.factoryOf
+import org.koin.core.module.dsl.viewModelOf
+import org.koin.dsl.bind
+import org.koin.dsl.module
+
+@OptIn(KoinExperimentalAPI::class)
+val bModule: Module = module {
+    factoryOf(::BRepositoryImpl) bind BRepository::class
+    viewModelOf(::BViewModel)
+}
+"""
+
+
+def _modules_sql(forced: bool) -> str:
+    b = ("b", "B", "di/BModule.kt", "CREATE", _FORCED, "", True) if forced else ("b", "B", "di/BModule.kt", "SKIP", None, "// в BModule.kt добавь: viewModelOf(::BViewModel)", False)
+    rows = [("sleep_timer", "SleepTimer", "di/SleepTimerModule.kt", "CREATE", _TIMER, "", True), ("a", "Extra", "di/AModule.kt", "CREATE", _EXTRA, "", True), b, ("c", "C", None, None, None, "", False)]
+    return "SELECT * FROM " + _values(rows, "feature, pascal, target, action, content, pending, created_now")
+
+
+TREE = [("a.kt", "old"), ("b.kt", "b")]
+TARGETS = [("a.kt", "new"), ("c/.gitkeep", None), ("d.kt", "d")]
+
+
+def _tree(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, "path string, content string")
 
 
 MODULES = [("A", True, True, True), ("B", False, True, False), ("C", False, False, False)]
@@ -236,12 +371,13 @@ ALL: dict[str, tuple[Query, str | None]] = {
     "import_notice": (import_notice, f"SELECT conv_id, 'Imported history: ' || count(*) || ' messages.' AS notice FROM ({_merge_sql('id')}) GROUP BY conv_id"),
     "prompt_roles": (lambda s, d: prompt.roles(messages(s, d)), f"SELECT conv_id, pos, CASE author WHEN 'ASSISTANT' THEN 'assistant' ELSE 'user' END AS role, text AS content FROM ({MESSAGES})"),
     "prompt_context_stats": (lambda s, d: prompt.context_stats(messages(s, d)), f"SELECT conv_id, pos, n_messages, n_chars FROM (SELECT *, count(*) OVER w AS n_messages, CAST(sum(length(text)) OVER w AS BIGINT) AS n_chars FROM ({MESSAGES}) WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)) WHERE author = 'USER'"),
-    "prompt_payload": (lambda s, d: prompt.requests(messages(s, d), MODEL, SYSTEM), None),
+    "prompt_payload": (lambda s, d: prompt.requests(messages(s, d), MODEL, SYSTEM), PAYLOAD),
     "response_extract": (response_extract, "SELECT * FROM " + _values([("one", True, "ASSISTANT", "hi"), ("two", True, "ASSISTANT", "first"), ("none", True, "ASSISTANT", ""), ("lenient", True, "ASSISTANT", "ok"), ("missing", False, None, None), ("null", False, None, None)], "id, ok, author, text")),
     "history_strict_decode": (history_strict_decode, STRICT),
     "history_roundtrip": (history_roundtrip, ROUNDTRIP),
-    "export_document": (lambda s, d: source.encode(messages(s, d)), None),
+    "export_document": (lambda s, d: source.encode(messages(s, d)), EXPORT),
     "reducer_replay": (reducer_replay, REPLAY),
+    "reducer_events": (reducer_events, EVENTS),
     "transcript_latest": (lambda s, d: voice.latest_transcript(voice_events(s)), "SELECT * FROM " + _values([(1, "hello there"), (2, "late"), (5, "x")], "session, draft")),
     "voice_states": (lambda s, d: voice.states(voice_events(s)), "SELECT * FROM " + _values([(1, "Idle", None), (2, "Idle", None), (3, "Unavailable", None), (4, "PermissionDenied", None), (5, "Failed", voice.ERRORS[7]), (6, "Idle", None), (7, "Failed", voice.OTHER_ERROR)], "session, state, message")),
     "voice_errors": (voice_errors, "SELECT CAST(range AS INTEGER) AS code, CASE range " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in voice.ERRORS.items()) + f" ELSE '{voice.OTHER_ERROR}' END AS message FROM range(12)"),
@@ -253,9 +389,17 @@ ALL: dict[str, tuple[Query, str | None]] = {
     "missing_bindings": (lambda s, d: scaffold.missing_bindings(s.createDataFrame(FILES, "file string, content string"), s.createDataFrame(SYMBOLS, "file string, symbol string")), f"SELECT s.file, s.symbol FROM {_values(SYMBOLS, 'file, symbol').replace('AS t(', 'AS s(')} JOIN {_values(FILES, 'file, content').replace('AS t(', 'AS f(')} ON s.file = f.file WHERE NOT contains(f.content, s.symbol)"),
     "changed_files": (lambda s, d: scaffold.changed_files(s.createDataFrame(CHANGED, "id bigint, csv string")), f"SELECT id, path FROM (SELECT id, trim(unnest(string_split(csv, ','))) AS path FROM {_values(CHANGED, 'id, csv')}) WHERE ends_with(path, '.kt') AND NOT contains('/' || path, '/build/') AND NOT contains('/' || path, '/showcaseApp/')"),
     "module_assemble": (lambda s, d: scaffold.module_lines(s.createDataFrame(MODULES, "pascal string, has_data boolean, has_domain boolean, has_presentation boolean")), "SELECT * FROM " + _values([("A", "    factoryOf(::ARepositoryImpl) bind ARepository::class\n    factoryOf(::AUseCase)\n    viewModelOf(::AViewModel)"), ("B", "    factoryOf(::BUseCase)"), ("C", None)], "pascal, body")),
-    "wire_include": (wire_include, _lines_sql("settings", [*SETTINGS[:6], 'include(":feature:c")', *SETTINGS[6:]])),
-    "wire_import": (wire_import, _lines_sql("all", [*AGGREGATE[:3], "import org.example.c.cModule", *AGGREGATE[3:]])),
-    "wire_entry": (wire_entry, _lines_sql("all", [*AGGREGATE[:8], "        zModule,", "        cModule", *AGGREGATE[9:]])),
+    "module_files": (module_files, _modules_sql(False)),
+    "module_files_forced": (lambda s, d: module_files(s, d, force=True), _modules_sql(True)),
+    "write_files": (lambda s, d: scaffold.write(_tree(s, TARGETS), _tree(s, TREE)), "SELECT * FROM " + _values([*TREE, ("c/.gitkeep", ""), ("d.kt", "d")], "path, content")),
+    "write_files_forced": (lambda s, d: scaffold.write(_tree(s, TARGETS), _tree(s, TREE), force=True), "SELECT * FROM " + _values([("a.kt", "new"), ("b.kt", "b"), ("c/.gitkeep", ""), ("d.kt", "d")], "path, content")),
+    "write_report": (lambda s, d: scaffold.report(scaffold.write_plan(_tree(s, TARGETS), _tree(s, TREE))), "SELECT * FROM " + _values([("skip   a.kt\ncreate c/.gitkeep\ncreate d.kt",)], "report")),
+    "actions_shown": (lambda s, d: view.view_rows(messages(s, d)).select("conv_id", "pos", *(c.alias(n) for n, c in view.actions_shown(F.col("is_speakable"), F.col("can_favorite"), F.col("conv_id") % 2 == 0).items())), f"SELECT conv_id, pos, author <> 'USER' AS has_actions, author <> 'USER' AND conv_id % 2 = 0 AS can_speak FROM ({MESSAGES})"),
+    "wire_include": (wire_include, _lines_sql("settings", [*SETTINGS[:2], 'include(":core:b")', *SETTINGS[2:6], 'include(":feature:aa")', 'include(":feature:c")', *SETTINGS[6:], 'include(":z")'])),
+    "wire_import": (wire_import, _lines_sql("all", [*AGGREGATE[:3], "import org.example.b.bModule", "import org.example.c.cModule", AGGREGATE[3], "import zz", *AGGREGATE[4:]])),
+    "wire_entry": (wire_entry, _lines_sql("all", [*AGGREGATE[:8], "        zModule,", "        bModule,", "        cModule", *AGGREGATE[9:]])),
+    "wire_module": (wire_module, _lines_sql("all", [*AGGREGATE[:3], "import org.example.c.cModule", *AGGREGATE[3:8], "        zModule,", "        cModule", *AGGREGATE[9:]]) + " UNION ALL " + _lines_sql("none", AGGREGATE)),
+    "wire_changes": (wire_changes, "SELECT * FROM " + _values([("all", "import org.example.c.cModule|cModule,", False), ("none", "import org.example.a.aModule|aModule,", True)], "file, added, already_present")),
 }
 
 
