@@ -1,6 +1,7 @@
 """Each corpus operator against brute force, with null, empty, long, tied and repeated rows, and clashing columns."""
 
 import hashlib
+import os
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -10,7 +11,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from parley.llm import embedding_dedup, exact_dedup, html_extract, language_id, packing, piece_tokens, simhash, token_counts, token_files, toxicity
+from parley.llm import common, embedding_dedup, exact_dedup, html_extract, language_id, packing, piece_tokens, simhash, token_counts, token_files, toxicity
 from parley.llm.chunks import ByteTokenizer, WordTokenizer
 
 WORD, BYTE, PIECE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
@@ -32,6 +33,24 @@ def none(spark):
     return spark.createDataFrame([], ROW)
 
 
+def test_scratch(spark):
+    """Tables go to the application's own folder, which can be cleared; without a shared folder on a cluster that is an error."""
+    table = common.staged(spark.range(3), "x")
+    assert spark.sparkContext.applicationId in table.inputFiles()[0] and table.count() == 3
+    folder = table.inputFiles()[0].removeprefix("file://").rsplit("/", 2)[0]
+    other = common.scratch(spark, "y")
+    assert other.startswith(folder) and os.path.isdir(folder)
+
+    class Cluster:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("S", (), {"master": "spark://x:7077", "getConf": staticmethod(lambda: Cluster.conf)})  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Cluster)
+    common.clear_scratch(spark)
+    assert not os.path.exists(folder)
+
+
 def rows(df):
     return sorted((tuple(r) for r in df.collect()), key=repr)
 
@@ -44,8 +63,8 @@ def test_exact(docs, none):
     for norm, ids in groups.items():
         keep = max((i for i in ids if i is not None), default=None)
         want += [(i, keep, len(ids), i == keep, hashlib.sha256(norm.encode()).hexdigest()) for i in ids]
-    for hot in (1000, 1):  # with 1 every copied text is dealt to salted ranges
-        assert rows(exact_dedup.exact_duplicates(docs, hot)) == sorted(want, key=repr)
+    for hot, size in ((1000, 1 << 28), (1, 1 << 28), (1000, 20)):  # every copied text is dealt to salted ranges, by rows or by bytes
+        assert rows(exact_dedup.exact_duplicates(docs, hot, size)) == sorted(want, key=repr)
     assert rows(exact_dedup.exact_duplicates(none)) == []
 
 
@@ -69,6 +88,13 @@ def test_counts(docs, none, tmp_path):
         assert rows(token_counts.count_tokens(docs, WORD, cache)) == want
     stored = docs.sparkSession.read.parquet(cache)
     assert stored.count() == len({x or "" for _, x in TEXTS})  # the second run found every content
+    more = docs.sparkSession.createDataFrame([(1, "the quick"), (1, "the quick"), (None, "brown fox"), (2, TEXTS[0][1])], "doc_id bigint, text string")
+    for few in (500_000, 0):  # with misses broadcast and joined by a shuffle
+        t_of = lambda x: len(t.library.encode(x, add_special_tokens=False).ids)
+        said = [(i, x + str(few)) if x != TEXTS[0][1] else (i, x) for i, x in map(tuple, more.collect())]
+        again = token_counts.count_tokens(docs.sparkSession.createDataFrame(said, more.schema), WORD, cache, few=few)
+        assert rows(again) == sorted(((i, len(x.encode()), t_of(x), False) for i, x in said), key=repr)
+    assert docs.sparkSession.read.parquet(cache).count() == stored.count() + 4
     assert rows(token_counts.count_tokens(none, WORD)) == []
 
 
