@@ -1,7 +1,9 @@
 """The corpus pipeline: toxicity, language, exact dedup, near dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the
-next one's docs. All but the last return the columns of documents.
+next one's docs. All but the last return the columns of documents, whatever other columns these have. In every stage
+a null text counts as an empty one and repeated rows are rows like any other, unless its docstring says more; an empty
+table gives an empty one.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ def without(docs: DataFrame, marked: DataFrame, digest: Column, label: str) -> D
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves documents scored below 0.3, with or without text: all of them where nothing could be learned."""
+    """Leaves documents scored below 0.3, with or without text or id: all of them where nothing could be learned."""
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     added = unused(docs, "toxic_score"), unused(docs, "toxic_predicted")
     return toxicity.score(docs, model, added=added).where(F.col(added[1]) == 0).select(docs.columns)
@@ -66,7 +68,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents that are left, with their places in sequences of 2048 tokens."""
+    """The pieces of all documents that are left, with their places in sequences of 2048 tokens. A document without text is its
+    end id alone; rows that repeat an id are cut each for itself."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
