@@ -17,24 +17,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.chunks import byte_tokenizer
+from parley.llm.chunks import LIMIT, byte_tokenizer
 from parley.llm.common import slices, staged, table, texts
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 BINS = "fill int, members array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 
 
-def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, keep_ids: bool = False, limit: int = LIMIT) -> DataFrame:
     """The pieces of every text: doc_id, piece, start, length, ids_crc32, and with keep_ids the ids.
 
     Of a text of more than `size` ids (its end id counts) the first piece is the shorter one.
-    A null text is the end id alone. Rows that repeat a doc_id are cut each for itself."""
+    A null text is the end id alone. Rows that repeat a doc_id are cut each for itself. limit: entries of a worker's chunk table."""
     fields = PIECES + (", ids array<int>" if keep_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                n, ids = byte_tokenizer(tokenizer_path).encode(part.column("text").to_pylist())
+                n, ids = byte_tokenizer(tokenizer_path, limit).encode(part.column("text").to_pylist())
                 ids = np.insert(ids, np.cumsum(n), end_id).astype("<u4")
                 n = n + 1
                 pieces = -(-n // size)
@@ -138,9 +138,9 @@ def pack(pieces: DataFrame, size: int = 2048, slack: int = 2, per_partition: int
     return placed.select("sequence_id", F.explode("members").alias("p")).select("p.m.*", "sequence_id", "p.offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: int = 0, limit: int = LIMIT) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of docs."""
-    return pack(cut_pieces(docs, tokenizer_path, size, end_id), size)
+    return pack(cut_pieces(docs, tokenizer_path, size, end_id, limit=limit), size)
 
 
 def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:
