@@ -16,18 +16,23 @@ from parley.llm.common import staged, table, unused
 
 #: SQL can't express the stages; tests/llm/test_pipeline.py holds them against brute force.
 ORACLE_SQL = None
+#: rows of marked documents that a broadcast may hold
+FEW = 500_000
 
 
 def without(docs: DataFrame, marked: DataFrame, digest: Column, label: str) -> DataFrame:
     """docs but for the rows that marked (doc_id, text_sha256, kept) has as not kept, and those it has as kept once each.
 
     A row is told by its doc_id (null equals null) and digest, its text's SHA-256: an id may be null, or repeat
-    with another text. Few are marked: written first, so that Spark knows their size and sends them to the
-    documents where they are small enough; else it joins by a shuffle."""
+    with another text. What is marked is written first: up to FEW rows of some 60 bytes are sent to the documents, beyond
+    that Spark joins by a shuffle, unless it finds them small enough itself."""
+    marked = marked.withColumn("text_sha256", F.unhex("text_sha256"))
     pairs = marked.groupBy("doc_id", "text_sha256").agg(F.first("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("not kept or n > 1")
     pairs = staged(pairs.drop("n"), label)
+    if pairs.count() <= FEW:
+        pairs = F.broadcast(pairs)
     name = unused(docs, "sha256")
-    keyed = docs.withColumn(name, digest)
+    keyed = docs.withColumn(name, F.unhex(digest))
     dropped, again = (pairs.where(k).select(F.col("doc_id").alias("i"), F.col("text_sha256").alias("s")) for k in ("not kept", "kept"))
 
     def same(rows: DataFrame, few: DataFrame) -> Column:
@@ -72,7 +77,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     end id alone; rows that repeat an id are cut each for itself."""
     import public_tokenizers
 
-    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    # smaller chunk tables than by default: the workers of earlier stages live on beside them
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=150_000)
 
 
 STAGES = [
