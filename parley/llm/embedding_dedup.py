@@ -9,7 +9,7 @@ where it meets, told from both vectors' bucket lists, so pairs need not be liste
 What leaves a bucket is a link count for each vector and a forest of the links.
 
 How full buckets are must not follow the table's size: the number of rotations grows with the number of vectors, so
-that a vector is compared with some 40 others at most that aren't near it, and the number of tables with the rotations and the width,
+that a vector meets some 5 others at most that aren't near it, and the number of tables with the rotations and the width,
 so that the recall stays (see plan()). Buckets are first counted by id alone; vectors are sent only to those where two meet.
 
 Recall depends on the cosine, not on the data's size; tests/llm measures it against brute force.
@@ -80,7 +80,7 @@ def nearest_axes(x: np.ndarray, rotations: int, rng: np.random.Generator) -> tup
 
 
 @lru_cache(maxsize=256)
-def plan(n: int, d: int, cosine: float = 0.95, recall: float = 0.98, strangers: float = 40) -> Plan:
+def plan(n: int, d: int, cosine: float = 0.95, recall: float = 0.98, strangers: float = 5) -> Plan:
     """Rotations and tables for n vectors of width d.
 
     The chance that a pair at exactly that cosine meets in one table is taken from 1000 such pairs, drawn with
