@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 from parley.llm.common import staged
 
 
-def compare_buckets(rows: DataFrame, key: str, row_id: str, block: int, compare: Callable[[pa.RecordBatch, np.ndarray | None], Iterator[pa.RecordBatch]], schema: str, sizes: DataFrame | None = None) -> DataFrame:
+def compare_buckets(rows: DataFrame, key: str, row_id: str, block: int, compare: Callable[[pa.RecordBatch, np.ndarray | None], Iterator[pa.RecordBatch]], schema: str, sizes: DataFrame | None = None, together: int = 0) -> DataFrame:
     """Calls compare(bucket, side) for each bucket of key (bigint), or each pair of its chunks, and returns its rows.
-    sizes: count of each bucket, where it is known already.
+    sizes: count of each bucket, where it is known already. together: whole buckets of up to so many rows come many to a call,
+    which has to tell them by key.
 
     side is None where the bucket is whole: compare all rows. Else it is 0 or 1 by row: compare rows of
     different sides, and those of side 0 among each other only where there is no side 1."""
@@ -52,8 +53,12 @@ def compare_buckets(rows: DataFrame, key: str, row_id: str, block: int, compare:
             if len(ends) > 1:  # the first bucket may have begun before this batch, the last may go on after it
                 yield from one_bucket([*held, batch.slice(0, ends[0])])
                 held = []
-                for at in np.flatnonzero(ends[1:-1] - begins[1:-1] > 1).tolist():
-                    yield from one_bucket([batch.slice(begins[at + 1], ends[at + 1] - begins[at + 1])])
+                begin, n = begins[1:-1], ends[1:-1] - begins[1:-1]
+                few = (n > 1) & (n <= together) & (batch.column("_side").to_numpy()[begin] < 0)
+                for at in np.flatnonzero((n > 1) & ~few).tolist():
+                    yield from one_bucket([batch.slice(begin[at], n[at])])
+                if few.any():
+                    yield from compare(batch.take(pa.array(ranges(begin[few], n[few]))), None)
             held.append(batch.slice(begins[-1]))
             last = (int(k[-1]), int(a[-1]), int(b[-1]))
         if held:
@@ -73,6 +78,11 @@ def compare_buckets(rows: DataFrame, key: str, row_id: str, block: int, compare:
     return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+def ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[0] and the n[0] - 1 numbers after it, then those from begin[1] on, and so on."""
+    return np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+
+
 def grouped(run: Iterator[pa.RecordBatch], rows: int = 20_000) -> Iterator[pa.RecordBatch]:
     """Fewer, larger batches."""
     held: list[pa.RecordBatch] = []

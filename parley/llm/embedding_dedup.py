@@ -26,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.buckets import compare_buckets
+from parley.llm.buckets import compare_buckets, ranges
 from parley.llm.common import staged, table, with_columns
 from parley.llm.components import connected_components
 
 NONE = np.int64(2**63 - 1)
 MOST_TABLES = 63
+#: rows of a small bucket, of which many are compared at once
+TOGETHER = 16
 
 
 class Plan(NamedTuple):
@@ -154,34 +156,47 @@ def linked(cosine: float):
             whole = len(own) == len(sizes)
             yield from of_one_width(bucket if whole else bucket.take(pa.array(own)), side if side is None or whole else side[own])
 
+    def candidates(x: np.ndarray, here: np.ndarray, home: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Places of a first choice and of another row of its bucket with at least that cosine."""
+        begin = np.flatnonzero(np.append(True, here[1:] != here[:-1]))
+        size = np.diff(np.append(begin, len(x)))
+        if len(begin) == 1:
+            for at in range(0, len(x), 200):
+                h = np.flatnonzero(home[at : at + 200]) + at
+                i, j = np.nonzero(x[h] @ x.T >= cosine)
+                yield h[i], j
+            return
+        for at in range(0, len(x), 5000):  # many small buckets: of each row the pairs with its bucket's rows
+            own = np.flatnonzero(home[at : at + 5000]) + at
+            which = np.searchsorted(begin, own, side="right") - 1
+            i, j = np.repeat(own, size[which]), ranges(begin[which], size[which])
+            near = np.einsum("ij,ij->i", x[i], x[j]) >= cosine
+            yield i[near], j[near]
+
     def of_one_width(bucket: pa.RecordBatch, side: np.ndarray | None) -> Iterator[pa.RecordBatch]:
         home = bucket.column("home").to_numpy(zero_copy_only=False)
         n = bucket.num_rows
         if n < 2 or not home.any():
             return
-        here = bucket.column("bucket")[0].as_py()
         x = scaled(matrix(bucket.column("embedding"), n))
         x /= np.sqrt((x * x).sum(axis=1))[:, None]
         codes = matrix(bucket.column("codes"), n).reshape(n, -1, bucket.column("probes")[0].as_py())
-        t = here % (MOST_TABLES + 1)
+        here = bucket.column("bucket").to_numpy()
         copies, rep = bucket.column("copies").to_numpy(), bucket.column("rep").to_numpy()
         links, root = np.zeros(n, np.int64), np.arange(n)
-        for at in range(0, n, 200):
-            h = np.flatnonzero(home[at : at + 200]) + at
-            i, j = np.nonzero(x[h] @ x.T >= cosine)
-            i = h[i]
+        for i, j in candidates(x, here, home):
             keep = (i != j) & (~home[j] | (i < j))
             if side is not None and side.any():
                 keep &= side[i] != side[j]
             i, j = i[keep], j[keep]
             if not len(i):
                 continue
-            # i's first choice among j's buckets, and the other way round, in each table up to this one
-            ij = (codes[i, : t + 1, :1] == codes[j, : t + 1]).any(axis=2)
-            ji = (codes[j, : t + 1, :1] == codes[i, : t + 1]).any(axis=2)
-            earlier = (ij | ji)[:, :t].any(axis=1)
-            first = np.minimum(np.where(ij[:, t], codes[i, t, 0], NONE), np.where(ji[:, t], codes[j, t, 0], NONE))
-            keep = ~earlier & (first == here)
+            # i's first choice among j's buckets, and the other way round, in each table; only the first table of these counts
+            ij = (codes[i, :, :1] == codes[j]).any(axis=2)
+            ji = (codes[j, :, :1] == codes[i]).any(axis=2)
+            t, every = (ij | ji).argmax(axis=1), np.arange(len(i))
+            first = np.minimum(np.where(ij[every, t], codes[i, t, 0], NONE), np.where(ji[every, t], codes[j, t, 0], NONE))
+            keep = first == here[i]
             i, j = i[keep], j[keep]
             np.add.at(links, i, copies[j])
             np.add.at(links, j, copies[i])
@@ -201,7 +216,7 @@ def linked(cosine: float):
     return compare
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.98, seed: int = 11, block: int = 4000, expected: int | None = None) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.98, seed: int = 11, block: int = 1000, expected: int | None = None) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of vectors (vec_id: bigint, embedding: array of float or double).
 
     Equal vectors are one class from the start and all linked. Vectors that are null, empty, zero, or hold
@@ -219,7 +234,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.98,
     live = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("count"), F.max("home").alias("homes")).where("count > 1 and homes").drop("homes")
     live = staged(live, "live-buckets")
     placed = rows.join(live.select("bucket"), "bucket").join(held, "rep").select("bucket", "home", *held.columns)
-    met = staged(compare_buckets(placed, "bucket", "rep", block, linked(cosine), "a bigint, b bigint, n bigint", live), "vector-links")
+    met = staged(compare_buckets(placed, "bucket", "rep", block, linked(cosine), "a bigint, b bigint, n bigint", live, together=TOGETHER), "vector-links")
     links = met.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     joined = connected_components(met.select("a", "b")).withColumnRenamed("node", "rep")
     known = classes.join(links, "rep", "left").join(joined, "rep", "left")
