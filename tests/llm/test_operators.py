@@ -13,6 +13,7 @@ import xxhash
 
 from parley.llm import common, embedding_dedup, exact_dedup, html_extract, language_id, packing, piece_tokens, simhash, token_counts, token_files, toxicity
 from parley.llm.chunks import ByteTokenizer, WordTokenizer
+from parley.llm.components import connected_components
 
 WORD, BYTE, PIECE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"))
 LONG = " ".join(f"word{i % 997} Ünïcödé-{i}." for i in range(4000))
@@ -184,6 +185,23 @@ def components(fp, linked):
     return root
 
 
+def test_components(spark):
+    """Chains, a star, a ring, random edges, repeated edges and edges to oneself against a search; no edges give no nodes."""
+    rng = np.random.default_rng(3)
+    chain = [(i, i + 1) for i in range(100, 140)]
+    star = [(260, i) for i in range(200, 260)]
+    ring = [(300 + i, 300 + (i + 7) % 20) for i in range(20)]
+    pairs = rng.permutation([*chain, *star, *ring, *rng.integers(400, 500, (40, 2)).tolist(), (100, 101), (7, 7)]).tolist()
+    label = {i: i for pair in pairs for i in pair}
+    for _ in label:
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    alone = {i for i in label if all(a == b for a, b in pairs if i in (a, b))}
+    assert got == {i: c for i, c in label.items() if i not in alone}
+    assert connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
 def test_simhash(docs, none):
     ids, fp = [i for i, _ in TEXTS], [plain_fingerprint(x or "") for _, x in TEXTS]
     root = components(fp, [(a, b) for a in range(len(fp)) for b in range(a) if (fp[a] ^ fp[b]).bit_count() <= 4])
