@@ -9,7 +9,6 @@ its lowest calibrated scores' quantile, never over one half.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +22,6 @@ from parley.llm.ngrams import hashed_ngrams, sampled
 
 BITS, SIZES, DIM = 15, range(2, 5), 16
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]").search
 _BLANK = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
 
 
@@ -36,6 +34,11 @@ class Model:
     reject_below: float
 
 
+def has_letter(text: str) -> bool:
+    """Whether text has a letter of any script; digits, fractions, circled and Roman numerals aren't letters."""
+    return any(map(str.isalpha, text))
+
+
 def buckets(text: str) -> np.ndarray:
     grams = hashed_ngrams(b" " + text.lower().encode().translate(_BLANK) + b" ", SIZES, BITS)
     return np.concatenate(grams) if grams else np.empty(0, np.uint32)
@@ -48,7 +51,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 def fit(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 20.0, batch: int = 16, seed: int = 7) -> Model:
     """rows: text and language, in an order that doesn't vary."""
-    rows = [(t, lang) for t, lang in rows if _LETTER(t)]
+    rows = [(t, lang) for t, lang in rows if has_letter(t)]
     languages = sorted({lang for _, lang in rows})
     k = len(languages)
     if not k:
@@ -108,7 +111,7 @@ def learn(docs: DataFrame, per_language: int = 1200, max_rows: int = 48_000, max
 
 def predict(text: str | None, model: Model) -> tuple[str, float, bool]:
     """Language, calibrated score, and whether the prediction is accepted."""
-    if not text or not _LETTER(text):
+    if not text or not has_letter(text):
         return UNKNOWN, 0.0, False
     if not model.languages:
         return UNKNOWN, 0.0, True  # nothing to reject it by

@@ -419,10 +419,10 @@ def test_language(spark, none):
     rng = np.random.default_rng(7)
     sounds = {"aa": ["ka", "to", "mi", "ru"], "bb": ["schl", "ung", "ber", "ein"], "cc": ["éau", "oux", "ière", "que"]}
     said = [(i, " ".join("".join(rng.choice(sounds[k], 3)) for _ in range(30)), k) for i in range(300) for k in [list(sounds)[i % 3]]]
-    df = spark.createDataFrame([(*r, 0.0) for r in said] + [(400, None, "aa", 0.0), (401, "", None, 0.0), (402, "123 !!", "bb", 0.0), (None, "kato miru", None, 0.0)], "doc_id bigint, text string, lang string, score double")
+    df = spark.createDataFrame([(*r, 0.0) for r in said] + [(400, None, "aa", 0.0), (401, "", None, 0.0), (402, "123 !!", "bb", 0.0), (403, "² ½ ① Ⅷ ٣", "aa", 0.0), (None, "kato miru", None, 0.0)], "doc_id bigint, text string, lang string, score double")
     found = {r["doc_id"]: r for r in language_id.languages(df).collect()}
     assert all(found[i]["lang_pred"] == k and found[i]["accepted"] for i, _, k in said if found[i]["held_out"])
-    assert all((found[i]["lang_pred"], found[i]["score"], found[i]["accepted"]) == ("und", 0.0, False) for i in (400, 401, 402)) and found[None]["lang_pred"] == "aa"
+    assert all((found[i]["lang_pred"], found[i]["score"], found[i]["accepted"]) == ("und", 0.0, False) for i in (400, 401, 402, 403)) and found[None]["lang_pred"] == "aa"
     assert rows(language_id.languages(none)) == []
 
 
