@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parley.llm import embedding_dedup, exact_dedup, html_extract, language_id, line_dedup, packing, piece_tokens, simhash, token_counts, token_files, toxicity
+from parley.llm import embedding_dedup, exact_dedup, html_extract, language_id, line_dedup, packing, piece_tokens, simhash, token_counts, token_files, toxicity, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_piece_tokens": piece_tokens.query,
         "op9_token_files": token_files.query,
         "op10_simhash": simhash.query,
+        "op12_embedding_whitening": whitening.query,
         "op13_line_dedup": line_dedup.query,
     }
 
