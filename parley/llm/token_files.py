@@ -119,8 +119,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
     """Encodes each text, appends end_id, and writes blocks in ascending doc_id order under path.
 
     Needs doc_id (integer) and text; ignores other columns. Null text: the end id alone. Rows that
-    repeat a doc_id stand next to each other, by text; a null doc_id comes first. Parts are
-    ranges of doc_id, so an empty table gives files without blocks. Tasks write through Spark's commit:
+    repeat a doc_id stand next to each other, by their first 32 characters, then by hash; a null doc_id comes first. Parts are
+    ranges of these, and equal rows are cut by their place in the input, so that an id of very many rows spreads over parts. An empty table gives files without blocks. Tasks write through Spark's commit:
     a lost executor's parts are written again, whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +148,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
         if held:
             yield flush()
 
-    ordered = texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    own = texts(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.substring("text", 1, 32).alias("head"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("turn"))
+    ordered = own.repartitionByRange("doc_id", "head", "h", "turn").sortWithinPartitions("doc_id", "head", "h", "text").select("doc_id", "text")
     ordered.mapInArrow(run, FORMAT).write.parquet(path)
 
 
