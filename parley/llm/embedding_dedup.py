@@ -58,8 +58,9 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 def wide(d: int) -> int:
-    """The power of two that vectors of width d are padded to."""
-    return 1 << max(1, (d - 1).bit_length())
+    """The power of two that vectors of width d are padded to: 16 at least, as in fewer dimensions signs and
+    Hadamard transforms give few different rotations."""
+    return 1 << max(4, (d - 1).bit_length())
 
 
 def nearest_axes(x: np.ndarray, rotations: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -82,19 +83,24 @@ def nearest_axes(x: np.ndarray, rotations: int, rng: np.random.Generator) -> tup
 
 
 @lru_cache(maxsize=256)
-def plan(n: int, d: int, cosine: float = 0.95, recall: float = 0.98, strangers: float = 5) -> Plan:
+def plan(n: int, d: int, cosine: float = 0.95, recall: float = 0.98, strangers: float = 5, seed: int = 11) -> Plan:
     """Rotations and tables for n vectors of width d.
 
     The chance that a pair at exactly that cosine meets in one table is taken from 1000 such pairs, drawn with
     a fixed seed; so many tables are taken that the pair is found with the chance `recall` (at the most 63). Rotations: the
-    fewest with which a vector meets at most about `strangers` others that point anywhere."""
+    fewest with which a vector meets at most about `strangers` others that point anywhere.
+    Under width 16 tables are no independent draws, and more rotations lose pairs that tables can't make up for: there the
+    tables are those with which so many of 600 pairs are found in truth, and rotations the most that reach that."""
     rng = np.random.default_rng(1)
     x, y = rng.normal(size=(2, 1000, d))
     x /= np.sqrt((x * x).sum(axis=1))[:, None]
     y -= (x * y).sum(axis=1)[:, None] * x
     y /= np.sqrt(np.maximum((y * y).sum(axis=1), 1e-300))[:, None]
-    (a, a2), (b, b2) = (nearest_axes(v, 5, np.random.default_rng(2)) for v in (x, cosine * x + np.sqrt(1 - cosine**2) * y))
-    for k in range(1 if d < 4 else 2, 6):
+    pair = x, cosine * x + np.sqrt(1 - cosine**2) * y
+    if d < 16:
+        return _plan_of_few_dimensions(n, (pair[0][:600], pair[1][:600]), recall, strangers, seed)
+    (a, a2), (b, b2) = (nearest_axes(v, 5, np.random.default_rng(2)) for v in pair)
+    for k in range(2, 6):
         equal, other = a[:, :k] == b[:, :k], (a2[:, :k] == b[:, :k]) | (a[:, :k] == b2[:, :k])
         misses = k - equal.sum(axis=1)
         chance = ((misses == 0) | ((misses == 1) & (~equal & other).any(axis=1))).mean()
@@ -104,6 +110,21 @@ def plan(n: int, d: int, cosine: float = 0.95, recall: float = 0.98, strangers:
     return Plan(k, tables)
 
 
+def _plan_of_few_dimensions(n: int, pair: tuple[np.ndarray, np.ndarray], recall: float, strangers: float, seed: int) -> Plan:
+    best = Plan(1, MOST_TABLES)
+    for k in range(1, 6):
+        a, b = (cross_polytope(v, Plan(k, MOST_TABLES), seed) for v in pair)
+        met = (a[:, :, :1] == b).any(axis=2) | (b[:, :, :1] == a).any(axis=2)
+        found = np.logical_or.accumulate(met, axis=1).mean(axis=0)
+        if found[-1] < recall:
+            break
+        best = Plan(k, int(np.argmax(found >= recall)) + 1)
+        # of vectors that point anywhere those that share a bucket by chance
+        if n * (a[:-1, : best.tables, :1] == b[1:, : best.tables]).any(axis=(1, 2)).mean() <= strangers:
+            break
+    return best
+
+
 def cross_polytope(x: np.ndarray, how: Plan, seed: int) -> np.ndarray:
     """Of each row the buckets, by table: first choice, first axis replaced, second axis replaced and so on."""
     n, d = x.shape
@@ -138,7 +159,7 @@ def coded(n: int, cosine: float, recall: float, seed: int):
             sizes = batch.column("embedding").value_lengths().to_numpy()
             for d in np.unique(sizes).tolist():
                 own = batch.take(pa.array(np.flatnonzero(sizes == d)))
-                how = plan(n, d, cosine, recall)
+                how = plan(n, d, cosine, recall, seed=seed)
                 x = scaled(matrix(own.column("embedding"), own.num_rows))
                 buckets = np.concatenate([cross_polytope(x[at : at + 2000], how, seed) for at in range(0, len(x), 2000)])
                 codes = pa.FixedSizeListArray.from_arrays(pa.array(buckets.reshape(-1)), how.tables * how.probes).cast(pa.list_(pa.int64()))
