@@ -2,7 +2,7 @@
 
 A text's byte n-grams (n = 2 to 4, lower case, all ASCII but letters as blanks) are hashed to buckets; each bucket
 has an embedding, their average goes through a linear softmax. Both are trained by stochastic
-gradient descent in numpy on at most about `per_language` texts of each language and `max_rows` in all. A fifth of
+gradient descent in numpy on at most `per_language` texts of each language, `max_rows` texts and `max_bytes` bytes in all. A fifth of
 these is kept apart: a temperature is fitted on it, and the score below which a prediction is rejected is
 its lowest calibrated scores' quantile, never over one half.
 """
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.common import held_out, slices, table, unused, with_columns
-from parley.llm.ngrams import hashed_ngrams, sampled
+from parley.llm.ngrams import hashed_ngrams, part_of, within
 
 BITS, SIZES, DIM = 15, range(2, 5), 16
 UNKNOWN = "und"
@@ -93,18 +93,24 @@ def fit(rows: list[tuple[str, str]], epochs: int = 6, rate: float = 20.0, batch:
     return Model(languages, logits, bias.astype(np.float64), temperature, reject)
 
 
-def learn(docs: DataFrame, per_language: int = 1200, max_rows: int = 48_000, max_languages: int = 256) -> Model:
-    """Fits on texts with a language outside the held-out quarter. Bounded (to within chance): about per_language texts
-    of each language reach the driver, and max_rows in all. The draw is by id and text, and rows of one language, id and
-    text count once, so that null and repeated ids are drawn like any other. Of more than max_languages languages (the
-    model has a column for each) those with the fewest rows aren't learned."""
+def learn(docs: DataFrame, per_language: int = 1200, max_rows: int = 48_000, max_languages: int = 256, max_bytes: int = 32 << 20) -> Model:
+    """Fits on texts with a language outside the held-out quarter. What reaches the driver is never more than per_language texts of a
+    language, max_rows texts and max_bytes bytes, the latter two in equal shares for each of the languages: texts fall into 1024
+    parts by id and text, and whole parts are taken in a fixed order as long as the bounds hold. A text drawn is whole; one of more
+    bytes than its language's share can't be drawn. Rows of one language, id and text count once, so that null and repeated
+    ids are drawn like any other. Of more than max_languages languages (the model has a column for each) those with the fewest
+    rows aren't learned."""
     own = docs.select("doc_id", "text", "lang").where("text is not null and lang is not null").where(~held_out(F.col("doc_id")))
-    sizes = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    wanted = sum(min(r["count"], per_language) for r in sizes)
-    shares = [(r["lang"], min(r["count"], per_language) / r["count"] * min(1.0, max_rows / wanted)) for r in sizes]
-    few = docs.sparkSession.createDataFrame(shares, "lang string, share double")
-    drawn = own.withColumn("h", F.xxhash64("text")).join(F.broadcast(few), "lang").where(sampled(F.struct("doc_id", "h"), F.col("share")))
-    chosen = drawn.groupBy("lang", "doc_id", "h").agg(F.first("text").alias("text")).select("doc_id", "text", "lang").toArrow()
+    own = own.withColumn("h", F.xxhash64("text")).withColumn("part", part_of(F.struct("doc_id", "h")))
+    common = [r["lang"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
+    distinct = own.where(F.col("lang").isin(common)).groupBy("lang", "part", "doc_id", "h").agg(F.first(F.octet_length("text")).cast("bigint").alias("bytes"))
+    sizes: dict[str, list[tuple[int, int, int]]] = {}
+    for r in distinct.groupBy("lang", "part").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).collect():  # 1024 rows a language at most
+        sizes.setdefault(r["lang"], []).append((r["part"], r["n"], r["bytes"]))
+    k = max(1, len(common))
+    taken = [(lang, part) for lang, parts in sizes.items() for part in within(parts, min(per_language, max_rows // k), max_bytes // k)]
+    few = F.broadcast(docs.sparkSession.createDataFrame(taken, "lang string, part bigint"))
+    chosen = own.join(few, ["lang", "part"]).groupBy("lang", "doc_id", "h").agg(F.first("text").alias("text")).select("doc_id", "text", "lang").toArrow()
     rows = sorted(zip(*(chosen.column(c).to_pylist() for c in ("doc_id", "text", "lang")), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
     return fit([(text, lang) for _, text, lang in rows])
 
@@ -145,7 +151,8 @@ def identify(docs: DataFrame, model: Model, added: tuple[str, str, str] = ("lang
 
 
 def languages(docs: DataFrame, per_language: int = 1200) -> DataFrame:
-    """doc_id, held_out, lang_pred, score and accepted of every row; lang is read for learning alone.
+    """doc_id, held_out, lang_pred, score and accepted of every row; lang is read for learning alone. The 256 most frequent
+    languages can be predicted (see learn()).
 
     Repeated rows and rows with a null id each get a row, other columns are ignored, an empty table gives an empty one.
     Texts are read whole, however long."""

@@ -3,8 +3,8 @@
 A text's features are the hashed n-grams that it has (n = 4 to 8, lower case), each worth
 r = log((p / |p|) / (q / |q|)), where p and q count the labelled texts of class 1 and 0 that have it, plus one.
 A text that the model is fitted on doesn't count itself in its own ratios: else these would tell its label better than
-those of an unseen text do. A logistic model with an L2 penalty is fitted on them by L-BFGS in numpy, on at most about
-`max_rows` labelled rows. The model is one float for each bucket (4 MB) and a bias.
+those of an unseen text do. A logistic model with an L2 penalty is fitted on them by L-BFGS in numpy, on at most
+`max_rows` labelled rows of `max_bytes` bytes. The model is one float for each bucket (4 MB) and a bias.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.common import held_out, slices, table, texts, unused, with_columns
-from parley.llm.ngrams import hashed_ngrams, sampled
+from parley.llm.ngrams import hashed_ngrams, part_of, sampled, within
 
 BITS, SIZES = 20, range(4, 9)
 #: the score where no text could be told from another: below any threshold in use, so that no document is rejected unseen
@@ -116,10 +116,11 @@ def logit(text: str, weights: np.ndarray, bias: float) -> float:
     return bias + float(weights[np.unique(grams[weights[grams] != 0])].sum(dtype=np.float64))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> tuple[np.ndarray, float]:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, max_bytes: int = 32 << 20) -> tuple[np.ndarray, float]:
     """Fits on labelled rows outside the held-out quarter. A doc_id with several labels counts as toxic if one says so;
-    rows with a null label or id are left out. max_rows bounds the rows that reach the driver (to within chance): ids
-    are drawn first, then, where these have more rows than that (an id may repeat), rows by id and text. Equal rows count once."""
+    rows with a null label or id are left out. Equal rows count once. What reaches the driver is never more than max_rows rows and max_bytes
+    bytes of text: ids are drawn first; their rows fall into 1024 parts by id and text, and whole parts are taken in a fixed
+    order as long as both bounds hold. A text drawn is whole; one of over max_bytes can't be drawn."""
     own = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = own.count()
     if not total:
@@ -127,10 +128,11 @@ def learn(docs: DataFrame, labels: DataFrame, max_rows: int = 8000) -> tuple[np.
     drawn = sampled(F.col("doc_id"), F.lit(min(1.0, max_rows / total)))
     # so few ids that they can be broadcast
     found = texts(docs).where(drawn).join(F.broadcast(own.where(drawn)), "doc_id").withColumn("h", F.xxhash64("text"))
-    rows = found.count()
-    if rows > max_rows:
-        found = found.where(sampled(F.struct("doc_id", "h"), F.lit(max_rows / rows)))
-    got = found.groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).toArrow()
+    found = found.withColumn("part", part_of(F.struct("doc_id", "h")))
+    distinct = found.groupBy("part", "doc_id", "h").agg(F.first(F.octet_length("text")).cast("bigint").alias("bytes"))
+    sizes = distinct.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).collect()
+    parts = within([(r["part"], r["n"], r["bytes"]) for r in sizes], max_rows, max_bytes)
+    got = found.where(F.col("part").isin(parts)).groupBy("doc_id", "h").agg(F.first("text").alias("text"), F.max("toxic").alias("toxic")).toArrow()
     return fit([(text, label) for _, text, label in sorted(zip(*(got.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True))])
 
 
