@@ -166,6 +166,13 @@ def test_files(spark, docs, none, tmp_path):
         token_files.write_token_files(docs, WORD, str(tmp_path / str(k)), block_ids=size)
         assert rows(token_files.token_file_digests(spark, str(tmp_path / str(k)))) == sorted(want, key=repr)
     assert {(r["doc_id"], r["start"], len(r["ids"])) for r in token_files.read_token_files(spark, str(tmp_path / "1")).collect()} == {w[:3] for w in want}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # parts as for a larger table
+    token_files.write_token_files(spark.range(20_000).selectExpr("7 as doc_id", "concat('one id ', id % 3000) as text").repartition(3), WORD, str(tmp_path / "one"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = spark.read.parquet(str(tmp_path / "one")).selectExpr("part", "n_ids", "size(lengths) as n").collect()
+    assert len({r["part"] for r in parts}) >= 3 and max(r["n"] for r in parts) < 12_000  # a repeated id spreads over parts
+    starts = sorted((r["start"], r["n_tokens"]) for r in token_files.token_file_digests(spark, str(tmp_path / "one")).collect())
+    assert len(starts) == 20_000 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:], strict=False)) and starts[0][0] == 0
     token_files.write_token_files(none, WORD, str(tmp_path / "none"))
     assert rows(token_files.token_file_digests(spark, str(tmp_path / "none"))) == []
 
@@ -290,22 +297,34 @@ def test_vectors(spark, block):
     assert embedding_dedup.near_vectors(df.limit(0)).collect() == []
 
 
-@pytest.mark.parametrize("width", [16, 64, 256, 1024])
+@pytest.mark.parametrize("width", [*range(1, 17), 64, 256, 1024])
 @pytest.mark.parametrize("n", [10_000, 10**9])
 def test_vector_recall(width, n):
     """Pairs at cosine exactly 0.95, 0.96 and 0.97 that share a bucket, one of them with its first choice: planned for few and for many vectors."""
     how, rng = embedding_dedup.plan(n, width), np.random.default_rng(8)
-    assert how.tables * how.probes * n / float(2 * embedding_dedup.wide(width)) ** how.rotations < 6 or how.rotations == 5
+    assert width < 16 or how.tables * how.probes * n / float(2 * embedding_dedup.wide(width)) ** how.rotations < 6 or how.rotations == 5
     for cosine in (0.95, 0.96, 0.97):
         x, y = rng.normal(size=(2, 400, width))
         x /= np.linalg.norm(x, axis=1)[:, None]
         y -= (x * y).sum(axis=1)[:, None] * x
-        y = cosine * x + np.sqrt(1 - cosine**2) * y / np.linalg.norm(y, axis=1)[:, None]
+        y = cosine * x + np.sqrt(1 - cosine**2) * y / np.maximum(np.linalg.norm(y, axis=1), 1e-300)[:, None]
         a, b = (embedding_dedup.cross_polytope(v, how, 11) for v in (x, y))
         met = ((a[:, :, :1] == b).any(axis=2) | (b[:, :, :1] == a).any(axis=2)).any(axis=1)
         assert met.mean() >= 0.95
 
 
+@pytest.mark.parametrize("width", [2, 3, 4, 7])
+def test_short_vectors(spark, width):
+    """Against all pairs: nearly all links of short vectors, and no other."""
+    draw = np.random.default_rng(width)
+    x = draw.normal(size=(40, width))[np.arange(300) % 40] + draw.normal(size=(300, width)) * 0.1
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id bigint, embedding array<double>")
+    found = np.array([n for _, n in sorted((r["vec_id"], r["n_links"]) for r in embedding_dedup.near_vectors(df).collect())])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    true = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert true.sum() > 40 and (found <= true).all() and found.sum() >= 0.97 * true.sum()
+
+
 def test_vectors_of_any_size_and_width(spark):
     data = [(0, [1e200, 1e200]), (1, [2e-200, 2e-200]), (2, [1e308, -1e308]), (3, [5e-324, -5e-324]), (4, [1.0, 0.0, 0.0]), (5, [2.0, 0.0, 0.0]), (6, [3.0]), (7, [-4.0]), (8, [0.5])]
     df = spark.createDataFrame(data, "vec_id bigint, embedding array<double>")
@@ -426,6 +445,29 @@ def test_language(spark, none):
     assert rows(language_id.languages(none)) == []
 
 
+def test_sample_parts():
+    from parley.llm.ngrams import within
+
+    assert within([(3, 1, 1), (1, 5, 10), (2, 1, 99), (0, 5, 10)], 11, 30) == [0, 1, 3]  # the part of 99 bytes is left out, those after it aren't
+    assert within([], 5, 5) == [] and within([(0, 6, 1)], 5, 5) == []
+
+
+def test_learners_samples_are_bounded_in_bytes(spark, monkeypatch):
+    """Texts of a megabyte: what reaches fit() is under the bound, of whole texts."""
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows: seen.append(rows) or (np.zeros(1, np.float32), 0.0))
+    monkeypatch.setattr(language_id, "fit", seen.append)
+    texts = spark.range(40).selectExpr("id as doc_id", "repeat(concat('text ', id, ' '), 120000) as text", "if(id % 2 = 0, 'aa', 'bb') as lang")
+    labels = spark.range(40).selectExpr("id as doc_id", "int(id % 2) as toxic")
+    toxicity.learn(texts, labels, max_bytes=10 << 20)
+    language_id.learn(texts, max_bytes=10 << 20)
+    for got in seen:
+        sizes = [len(t) for t, _ in got]
+        assert 5 <= len(sizes) <= 11 and sum(sizes) <= 10 << 20 and min(sizes) >= 840_000
+    toxicity.learn(texts, labels, max_rows=3)
+    assert 1 <= len(seen[-1]) <= 3
+
+
 def test_language_sample_is_bounded(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(language_id, "fit", seen.append)
