@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.operators import history, scaffold, view
-from parley.plans import prompt
+from parley.plans import prefixes, prompt
 from parley.sources import history as source
-from parley.streaming import reducer, voice
+from parley.streaming import reducer, spread, voice
 
 MODEL, SYSTEM = "chat-model", "You are a helpful assistant."
 MESSAGES = """SELECT conv_id, turn AS pos, conv_id || '-' || turn AS id, CASE WHEN role = 'assistant' THEN 'ASSISTANT' ELSE 'USER' END AS author,
@@ -183,6 +183,60 @@ EVENTS = f"""WITH e AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id
     UNION ALL SELECT DISTINCT conv_id, 1000000, unnest([0, 1, 2]), unnest(['History exported to /x.json', 'Export failed. Please try again.', 'Import failed. Invalid file.']) FROM ({MESSAGES}) WHERE conv_id % 2 = 0))
 SELECT * FROM e"""
 
+def replay_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread.summary(spread.walked(all_actions(messages(spark, sf_dir))))
+
+
+def replay_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread.messages(spread.walked(all_actions(messages(spark, sf_dir))))
+
+
+REPLAY_MESSAGES = f"""WITH m AS ({MESSAGES}), c AS (SELECT DISTINCT conv_id FROM m),
+a AS (SELECT conv_id, pos * 2 + CASE author WHEN 'USER' THEN 1 ELSE 0 END AS seq, author, CASE author WHEN 'USER' THEN regexp_replace(text, '^{SPACES}+|{SPACES}+$', '', 'g') ELSE text END AS text FROM m)
+SELECT conv_id, seq, 0 AS at, conv_id || '-' || seq AS id, author, text, false AS is_favorite FROM a
+UNION ALL SELECT conv_id, -8, 0, 'old-1', 'USER', 'before', true FROM c UNION ALL SELECT conv_id, -8, 1, 'old-2', 'ASSISTANT', 'then', conv_id % 2 = 0 FROM c"""
+
+
+def replay_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread.events(spread.walked(all_actions(messages(spark, sf_dir))))
+
+
+REPLAY_EVENTS = f"""WITH m AS ({MESSAGES}), c AS (SELECT DISTINCT conv_id FROM m)
+SELECT conv_id, pos * 2 + CASE author WHEN 'USER' THEN 1 ELSE 0 END AS seq, 0 AS at, 'scroll' AS event FROM m
+UNION ALL SELECT conv_id, unnest([-10, -8, -8]), unnest([0, 0, 1]), unnest(['scroll', 'Imported history: 2 messages.', 'scroll']) FROM c
+UNION ALL SELECT conv_id, unnest([1000005, 1000006, 1000007]), 0, unnest(['History exported to /x.json', 'Export failed. Please try again.', 'Import failed. Invalid file.']) FROM c WHERE conv_id % 2 = 0"""
+
+
+def prefix_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.chain(messages(spark, sf_dir), SYSTEM)
+
+
+def prefix_sharing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct prefix once, with the number of conversations that share it; texts cut to their first 12 characters, so that some do."""
+    some = messages(spark, sf_dir).withColumn("text", F.substring("text", 1, 12))
+    return prefixes.shared(prefixes.chain(some, SYSTEM)).select("digest", "parent", "n_turns", "n_convs", "conv_id")
+
+
+def prefix_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payload of every user turn, put together from its prefix's digest."""
+    m = messages(spark, sf_dir)
+    links = prefixes.chain(m, SYSTEM)
+    asked = links.where("author = 'USER'")
+    return asked.join(prefixes.payloads(m, links, asked, MODEL, SYSTEM), "digest").select("conv_id", "pos", "payload")
+
+
+def _chain_sql(text: str) -> str:
+    part = lambda sha, at: f"('0x' || substr({sha}, {at}, 15))::HUGEINT"
+    half = lambda i, at: f"list_reduce(list_prepend({part(f"sha256('{SYSTEM}')", at)}, list_transform(hashes, lambda h: {part('h', at)})), lambda x, y: (x * {prefixes.BASES[i]}::HUGEINT + y) % {prefixes.PRIME}::HUGEINT)"
+    return f"""c0 AS (SELECT conv_id, pos, author, sha256(CASE author WHEN 'ASSISTANT' THEN 'assistant' ELSE 'user' END || chr(10) || {text}) AS hash FROM ({MESSAGES})),
+c1 AS (SELECT conv_id, pos, author, list(hash) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS hashes FROM c0),
+c2 AS (SELECT *, printf('%016x%016x', ({half(0, 1)})::BIGINT, ({half(1, 16)})::BIGINT) AS digest FROM c1),
+c AS (SELECT conv_id, pos, author, len(hashes) AS n_turns, digest, coalesce(lag(digest) OVER (PARTITION BY conv_id ORDER BY pos), printf('%016x%016x', {part(f"sha256('{SYSTEM}')", 1)}::BIGINT, {part(f"sha256('{SYSTEM}')", 16)}::BIGINT)) AS parent FROM c2)"""
+
+
+PREFIX_CHAIN = f"WITH {_chain_sql('text')} SELECT * FROM c"
+PREFIX_SHARING = f"WITH {_chain_sql('substr(text, 1, 12)')} SELECT digest, any_value(parent) AS parent, any_value(n_turns) AS n_turns, count(*) AS n_convs, min(conv_id) AS conv_id FROM c GROUP BY digest"
+
 PAYLOAD = f"""WITH m AS (SELECT conv_id, pos, author, {{'role': CASE author WHEN 'ASSISTANT' THEN 'assistant' ELSE 'user' END, 'content': text}} AS m FROM ({MESSAGES})),
 w AS (SELECT conv_id, pos, author, list(m) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS sent FROM m)
 SELECT conv_id, pos, CAST(to_json({{'model': '{MODEL}', 'messages': list_concat([{{'role': 'system', 'content': '{SYSTEM}'}}], sent), 'stream': false}}) AS VARCHAR) AS payload FROM w WHERE author = 'USER'"""
@@ -378,6 +432,12 @@ ALL: dict[str, tuple[Query, str | None]] = {
     "export_document": (lambda s, d: source.encode(messages(s, d)), EXPORT),
     "reducer_replay": (reducer_replay, REPLAY),
     "reducer_events": (reducer_events, EVENTS),
+    "replay_spread": (replay_spread, f"SELECT conv_id, n_messages, draft, loading, failed, favorites_only, n_events FROM ({REPLAY})"),
+    "replay_messages": (replay_messages, REPLAY_MESSAGES),
+    "replay_events": (replay_events, REPLAY_EVENTS),
+    "prefix_chain": (prefix_chain, PREFIX_CHAIN),
+    "prefix_sharing": (prefix_sharing, PREFIX_SHARING),
+    "prefix_payload": (prefix_payload, PAYLOAD),
     "transcript_latest": (lambda s, d: voice.latest_transcript(voice_events(s)), "SELECT * FROM " + _values([(1, "hello there"), (2, "late"), (5, "x")], "session, draft")),
     "voice_states": (lambda s, d: voice.states(voice_events(s)), "SELECT * FROM " + _values([(1, "Idle", None), (2, "Idle", None), (3, "Unavailable", None), (4, "PermissionDenied", None), (5, "Failed", voice.ERRORS[7]), (6, "Idle", None), (7, "Failed", voice.OTHER_ERROR)], "session, state, message")),
     "voice_errors": (voice_errors, "SELECT CAST(range AS INTEGER) AS code, CASE range " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in voice.ERRORS.items()) + f" ELSE '{voice.OTHER_ERROR}' END AS message FROM range(12)"),
