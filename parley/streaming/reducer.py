@@ -19,7 +19,7 @@ from parley.schema import EXPORT_FAILED, EXPORTED, IMPORT_FAILED, IMPORTED, IMPO
 MESSAGE = "struct<id: string, author: string, text: string, is_favorite: boolean>"
 ACTIONS = f"conv_id bigint, seq bigint, action string, text string, message_id string, messages array<{MESSAGE}>"
 STATE = f"struct<messages: array<{MESSAGE}>, draft: string, loading: boolean, failed: boolean, favorites_only: boolean, events: array<string>>"
-#: what the stream gives: rows of kind `state` (after a batch that changed it) and of kind `event` (each once)
+#: what the stream gives: rows of kind `state` (after a batch that changed it), of kind `event` (each once) and of kind `late` (an action not applied)
 OUTPUT = "conv_id bigint, kind string, seq bigint, n_messages bigint, draft string, loading boolean, failed boolean, favorites_only boolean, event string"
 FLAGS = "draft string, loading boolean, failed boolean, favorites_only boolean, n_messages bigint"
 #: an event: the view goes to its last row
@@ -118,55 +118,90 @@ def plain(rows: Iterable[pd.DataFrame]) -> list[dict]:
     return sorted(out, key=lambda a: a["seq"])
 
 
+class Messages:
+    """A conversation's messages in keyed state: a map by place, and of each id the places that have it, so that a toggle reads these alone."""
+
+    def __init__(self, handle: StatefulProcessorHandle):
+        self.rows = handle.getMapState("messages", "pos bigint", "id string, author string, text string, is_favorite boolean")
+        self.places = handle.getMapState("places", "id string", "at array<bigint>")
+
+    def get(self, pos: int) -> tuple | None:
+        return tuple(self.rows.getValue((pos,))) if self.rows.containsKey((pos,)) else None
+
+    def every(self) -> Iterator[tuple[int, tuple]]:
+        return ((pos[0], tuple(m)) for pos, m in self.rows.iterator())
+
+    def of(self, message_id: str | None) -> list[int]:
+        return list(self.places.getValue((message_id,))[0]) if message_id is not None and self.places.containsKey((message_id,)) else []
+
+    def put(self, pos: int, message: dict) -> None:
+        self.rows.updateValue((pos,), (message["id"], message["author"], message["text"], message["is_favorite"]))
+        if message["id"] is not None:
+            self.places.updateValue((message["id"],), ([*self.of(message["id"]), pos],))
+
+    def mark(self, pos: int, is_favorite: bool) -> None:
+        self.rows.updateValue((pos,), (*self.get(pos)[:3], is_favorite))
+
+    def clear(self) -> None:
+        self.rows.clear()
+        self.places.clear()
+
+    def edit(self, what: tuple | None, n: int) -> bool:
+        """Does what apply() says to n messages; whether it changed one."""
+        match what:
+            case ("append", message):
+                self.put(n, message)
+            case ("toggle", wanted):
+                hit = self.of(wanted)
+                for pos in hit:
+                    self.mark(pos, not self.get(pos)[3])
+                return bool(hit)
+            case ("replace", messages):
+                self.clear()
+                for pos, message in enumerate(messages):
+                    self.put(pos, message)
+            case _:
+                return False
+        return True
+
+
 class Conversation(StatefulProcessor):
-    """Flags in one value, messages in a map by their place: a batch writes only what it changes."""
+    """Flags in one value, messages in maps: a batch writes only what it changes."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.flags = handle.getValueState("flags", FLAGS)
-        self.messages = handle.getMapState("messages", "pos bigint", "id string, author string, text string, is_favorite boolean")
+        self.mark = handle.getValueState("mark", "seq bigint")
+        self.messages = Messages(handle)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = self.flags.get() if self.flags.exists() else None
         before = flags = dict(zip(EMPTY, held, strict=True)) if held else EMPTY
-        changed, out, seq = False, [], None
+        done = self.mark.get()[0] if self.mark.exists() else None
+        changed, out, seq = False, [], done
         for a in plain(rows):
+            if seq is not None and a["seq"] <= seq:
+                out.append({"conv_id": key[0], "kind": "late", "seq": a["seq"], "event": a["action"]})
+                continue
             n, seq = flags["n_messages"], a["seq"]
             flags, edit, said = apply(flags, a)
-            changed = self.edit(edit, n) or changed
+            changed = self.messages.edit(edit, n) or changed
             out += [{"conv_id": key[0], "kind": "event", "seq": seq, "event": x} for x in said]
         self.flags.update(tuple(flags[k] for k in EMPTY))
+        self.mark.update((seq,))
         if changed or flags != before:
             out.append({"conv_id": key[0], "kind": "state", "seq": seq, **flags})
         names = [c.split()[0] for c in OUTPUT.split(", ")]
         if out:
             yield pd.DataFrame([{n: x.get(n) for n in names} for x in out], columns=names).astype({"n_messages": "Int64", "loading": "boolean", "failed": "boolean", "favorites_only": "boolean"})
 
-    def edit(self, what: tuple | None, n: int) -> bool:
-        """Whether it changed a message. n: how many there were."""
-        row = lambda m: (m["id"], m["author"], m["text"], m["is_favorite"])
-        match what:
-            case ("append", message):
-                self.messages.updateValue((n,), row(message))
-            case ("toggle", wanted):
-                hit = [(pos, m) for pos, m in self.messages.iterator() if m[0] == wanted]
-                for pos, m in hit:
-                    self.messages.updateValue(tuple(pos), (*m[:3], not m[3]))
-                return bool(hit)
-            case ("replace", messages):
-                self.messages.clear()
-                for pos, message in enumerate(messages):
-                    self.messages.updateValue((pos,), row(message))
-            case _:
-                return False
-        return True
-
     def close(self) -> None:
         pass
 
 
 def replay_stream(actions: DataFrame) -> DataFrame:
     """Rows of OUTPUT: the state of each conversation that a micro-batch changed, and the events of the batch, each once.
-    Actions that come in one batch are applied in order of seq. Needs the RocksDB state store, which it sets for the session."""
+    Actions that come in one batch are applied in order of seq. One that comes with or after a larger seq, or once more, isn't applied but given
+    out as a row of kind `late` (streaming.live holds actions back for a while to put them in order). Needs the RocksDB state store, which it sets for the session."""
     actions.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     return actions.groupBy("conv_id").transformWithStateInPandas(Conversation(), OUTPUT, "Update", "None")
 
