@@ -16,7 +16,7 @@ from typing import Any, Protocol
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,15 +34,22 @@ class Fold(Protocol):
         """What the rows of one group in one range give, in order, where before is the summary of the group's rows ahead of them."""
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all machines share. Where that is unset: on one machine a folder of our own, else an error."""
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+            base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        context.setCheckpointDir(base)
+    return context.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to spark.checkpoint.dir, parts as they are. Where that is unset: on one machine a folder of our own, else an error."""
-    context = df.sparkSession.sparkContext
-    if not (context.getCheckpointDir() or df.sparkSession.conf.get("spark.checkpoint.dir", None)):
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    elif not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir"))
+    """df written to the shared folder, parts as they are."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

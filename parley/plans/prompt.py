@@ -47,13 +47,3 @@ def replies(responses: DataFrame) -> DataFrame:
     text = trim(F.coalesce(F.try_element_at(choices, F.lit(1))["message"]["content"], F.lit("")))
     ok = F.coalesce(ok, F.lit(False))
     return responses.select("id", ok.alias("ok"), F.when(ok, F.lit("ASSISTANT")).alias("author"), F.when(ok, text).alias("text"))
-
-
-def complete(payloads: DataFrame, client) -> DataFrame:
-    """Calls client(list of payloads) -> list of response texts on each partition; tests pass an offline one."""
-
-    def run(batches):
-        for pdf in batches:
-            yield pdf.assign(response=client(pdf["payload"].tolist()))
-
-    return payloads.mapInPandas(run, f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in payloads.schema)}, response string")

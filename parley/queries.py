@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.operators import history, scaffold, view
-from parley.plans import prefixes, prompt
+from parley.functions import ids
+from parley.operators import history, scaffold, segments, view
+from parley.plans import completion, prefixes, prompt
 from parley.sources import history as source
 from parley.streaming import reducer, spread, voice
 
@@ -237,6 +240,30 @@ c AS (SELECT conv_id, pos, author, len(hashes) AS n_turns, digest, coalesce(lag(
 PREFIX_CHAIN = f"WITH {_chain_sql('text')} SELECT * FROM c"
 PREFIX_SHARING = f"WITH {_chain_sql('substr(text, 1, 12)')} SELECT digest, any_value(parent) AS parent, any_value(n_turns) AS n_turns, count(*) AS n_convs, min(conv_id) AS conv_id FROM c GROUP BY digest"
 
+def random_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new 64-bit id for each message."""
+    m = messages(spark, sf_dir)
+    return m.select("conv_id", "pos", ids.random_id(ids.counter(F.col("conv_id"), F.col("pos")), seed=5).alias("id"))
+
+
+def _offline(payloads: list[str]) -> list[str]:
+    """A completion service for queries: fails for one payload in four, else says the payload's digest."""
+    out = []
+    for payload in payloads:
+        said = hashlib.sha256(payload.encode()).hexdigest()
+        if said[0] in "0123":
+            raise TimeoutError(f"no answer to {said[:8]}")
+        out.append(json.dumps({"choices": [{"message": {"role": "assistant", "content": f" {said[:12]} "}}]}))
+    return out
+
+
+def completions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each user turn's request brings, failures as rows; the journal is kept in the shared folder, empty at first."""
+    asked = prompt.requests(messages(spark, sf_dir), MODEL, SYSTEM).withColumn("seq", F.col("pos") * 2 + 2)
+    done = completion.complete(asked, _offline, f"{segments.shared_folder(spark)}/completions-{uuid.uuid4().hex}", at_once=8)
+    return completion.reply_actions(done)
+
+
 PAYLOAD = f"""WITH m AS (SELECT conv_id, pos, author, {{'role': CASE author WHEN 'ASSISTANT' THEN 'assistant' ELSE 'user' END, 'content': text}} AS m FROM ({MESSAGES})),
 w AS (SELECT conv_id, pos, author, list(m) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS sent FROM m)
 SELECT conv_id, pos, CAST(to_json({{'model': '{MODEL}', 'messages': list_concat([{{'role': 'system', 'content': '{SYSTEM}'}}], sent), 'stream': false}}) AS VARCHAR) AS payload FROM w WHERE author = 'USER'"""
@@ -438,6 +465,8 @@ ALL: dict[str, tuple[Query, str | None]] = {
     "prefix_chain": (prefix_chain, PREFIX_CHAIN),
     "prefix_sharing": (prefix_sharing, PREFIX_SHARING),
     "prefix_payload": (prefix_payload, PAYLOAD),
+    "random_ids": (random_ids, f"SELECT conv_id, pos, {ids.sql('conv_id * 4294967296 + pos', seed=5)} AS id FROM ({MESSAGES})"),
+    "completions": (completions, f"SELECT conv_id, pos * 2 + 2 AS seq, CASE WHEN sha256(payload)[1] IN ('0', '1', '2', '3') THEN 'ReplyFailed' ELSE 'ReplyReceived' END AS action, CASE WHEN sha256(payload)[1] NOT IN ('0', '1', '2', '3') THEN sha256(payload)[1:12] END AS text FROM ({PAYLOAD})"),
     "transcript_latest": (lambda s, d: voice.latest_transcript(voice_events(s)), "SELECT * FROM " + _values([(1, "hello there"), (2, "late"), (5, "x")], "session, draft")),
     "voice_states": (lambda s, d: voice.states(voice_events(s)), "SELECT * FROM " + _values([(1, "Idle", None), (2, "Idle", None), (3, "Unavailable", None), (4, "PermissionDenied", None), (5, "Failed", voice.ERRORS[7]), (6, "Idle", None), (7, "Failed", voice.OTHER_ERROR)], "session, state, message")),
     "voice_errors": (voice_errors, "SELECT CAST(range AS INTEGER) AS code, CASE range " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in voice.ERRORS.items()) + f" ELSE '{voice.OTHER_ERROR}' END AS message FROM range(12)"),

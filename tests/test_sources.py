@@ -1,10 +1,9 @@
-"""Stored histories written and read back, files and their edits, completion by an offline client."""
+"""Stored histories written and read back, files and their edits."""
 
 import pytest
 
 from parley.functions import text as X
 from parley.operators import scaffold, view
-from parley.plans import prompt
 from parley.sources import history
 
 ROWS = [(1, 0, "a", "USER", "hi\n\u2028", True), (1, 1, "b", "ASSISTANT", "", False), (2, 0, "a", "USER", "x", False)]
@@ -56,17 +55,6 @@ def test_read_history(spark, tmp_path):
         rows(history.read_history(spark, str(tmp_path / "none.json"), strict=True))
 
 
-def test_complete(spark, messages):
-    def client(payloads):
-        return ['{"choices": [{"message": {"role": "assistant", "content": " %d "}}]}' % len(p) for p in payloads]
-
-    asked = prompt.requests(messages, "m", "s")
-    answered = prompt.complete(asked, client)
-    assert {r["payload"]: r["response"] for r in answered.collect()} == {r["payload"]: client([r["payload"]])[0] for r in asked.collect()}
-    replies = prompt.replies(answered.selectExpr("cast(conv_id as string) as id", "response as json"))
-    assert all(r["ok"] and r["text"].isdigit() for r in replies.collect())
-
-
 def test_files(spark, tmp_path):
     (tmp_path / "a.kt").write_text("x\r\ny\rz\n")
     files = scaffold.read_sources(spark, str(tmp_path / "a.kt"))
@@ -82,33 +70,42 @@ def test_files(spark, tmp_path):
     assert shown.limit(1).select(X.lines(shown.a.cast("string"))).first()[0]
 
 
-def fold(lines, section_of, new):
-    """The include edit of one line, as a loop over the lines."""
-    if any(x.strip() == new for x in lines):
-        return lines
-    start = next((i for i, x in enumerate(lines) if x.strip() == section_of), None)
-    last = None
-    for i in range(0 if start is None else start + 1, len(lines)):
-        if start is not None and last is not None and lines[i].strip().startswith("//"):
-            break
-        if lines[i].strip().startswith("include("):
-            last = i
-    at = len(lines) if last is None else last + 1
-    return [*lines[:at], new, *lines[at:]]
+X1, Y1, Z1, NEW = 'include("x")', "  include(y)", 'include("z")', 'include("new")'
+#: lines, section, lines wanted
+INCLUDES = {
+    "in its section": (["// A", X1, "// B", Y1], "// A", ["// A", X1, NEW, "// B", Y1]),
+    "in the last section": (["// A", X1, "// B", Y1], "// B", ["// A", X1, "// B", Y1, NEW]),
+    "no such section": (["// A", X1, "// B", Y1, "end"], "// C", ["// A", X1, "// B", Y1, NEW, "end"]),
+    "no include at all": (["other", ""], "// A", ["other", "", NEW]),
+    "none after the section's line": ([X1, "// B", "other"], "// B", [X1, "// B", "other", NEW]),
+    "a remark before the section's first": (["// A", "// remark", X1, "// B", Y1], "// A", ["// A", "// remark", X1, NEW, "// B", Y1]),
+    "other lines between them": (["// A", X1, "", "other", Z1, "//", Y1], "// A", ["// A", X1, "", "other", Z1, NEW, "//", Y1]),
+    "already there, indented": (["// A", X1, "// B", "    " + NEW], "// A", ["// A", X1, "// B", "    " + NEW]),
+    "a section's line that is indented": (["  // A", X1, "// B"], "// A", ["  // A", X1, NEW, "// B"]),
+}
 
 
-def test_includes_equal_a_fold(spark):
-    kinds = ["// A", "// B", 'include("x")', "  include(y)", "", "other", "//"]
-    files = {f"f{i}": [kinds[(i * 7 + j * j * 3 + i // (j + 1)) % len(kinds)] for j in range(i % 9)] or [""] for i in range(40)}
-    plans = [(f, s, n) for f in files for s, n in (("// A", 'include("n1")'), ("// B", 'include("n2")'), ("// None", 'include("n3")'), ("// B", 'include("x")'))]
+def included(spark, files, plans):
     lines = spark.createDataFrame([(f, i, x) for f, own in files.items() for i, x in enumerate(own)], "file string, pos bigint, line string")
     found = {}
     for r in scaffold.wire_include(lines, spark.createDataFrame(plans, "file string, section string, new string")).orderBy("file", "pos").collect():
         found.setdefault(r["file"], []).append(r["line"])
+    return found
+
+
+def test_includes(spark):
+    found = included(spark, {f: lines for f, (lines, _, _) in INCLUDES.items()}, [(f, section, NEW) for f, (_, section, _) in INCLUDES.items()])
+    assert found == {f: want for f, (_, _, want) in INCLUDES.items()}
+
+
+def test_includes_keep_all_else(spark):
+    """Several edits of each of many files: every new line stands once, all others keep their order."""
+    kinds = ["// A", "// B", X1, Y1, "", "other", "//"]
+    files = {f"f{i}": [kinds[(i * 7 + j * j * 3 + i // (j + 1)) % len(kinds)] for j in range(i % 9)] or [""] for i in range(40)}
+    new = ['include("n1")', 'include("n2")', 'include("n3")']
+    found = included(spark, files, [(f, s, n) for f in files for s, n in zip(("// A", "// B", "// None"), new, strict=True)] + [(f, "// B", X1) for f in files if X1 in files[f]])
     for f, own in files.items():
-        for _, section, new in sorted((p for p in plans if p[0] == f), key=lambda p: (p[2], p[1])):
-            own = fold(own, section, new)
-        assert found[f] == own
+        assert [x for x in found[f] if x not in new] == own and sorted(x for x in found[f] if x in new) == new
 
 
 def test_entries_without_a_list(spark):
