@@ -8,8 +8,10 @@ smoothness edges. The minimum cut then splits content from boilerplate, found by
 The classifier has two parts. One judges what a block's text is like: its links, length and sentences, its words, how
 many of them the rest of the page has, its neighbours. It is fitted on a bounded sample of pages, labelled by their markup: blocks
 of an article element are content, blocks of marked elements (navigation, adverts and so on) aren't. It never sees that
-markup, so it judges pages without any. The other part is fixed costs for a block's place: in an article, in a marked
-element, in one whose class or id only hints at it. An article clears the marks of what is around it.
+markup, so it judges pages without any, and what it says is bounded. The other part is fixed costs for a block's place: in an article, in a marked
+element, in one whose class or id only hints at it. A name in which such a word stands beside words of a subject ("cookie-recipe", "related-work")
+is in doubt: there the text decides. An article clears the marks of what is around it. So a block of an article that nothing marks stays, whatever
+its text is like, and in all other places but marked ones the text and its neighbours can turn it.
 
 Part of the sample is kept apart to choose the smoothness: the edges' capacities with which the cut, on text alone, labels
 the fewest of its blocks wrongly.
@@ -57,6 +59,10 @@ MARKS = frozenset(
 HINTS = frozenset("footer header notice related teaser topbar".split())
 #: a name that begins with one of these says what is beside the element, or isn't there
 BESIDE = frozenset("has no not with without".split())
+#: words that say no more than an element's part in the layout: beside these a mark or a hint means what it says
+STRUCTURE = frozenset(
+    "action actions after anchor area article author avatar background bar before block body bottom box btn button buttons card cards cell center close col collapse column columns container content count dialog dismiss drop dropdown element entry error field fixed flex float form frame global grid group header heading home hidden holder icon icons image img info inline inner input item items label layer layout left level line link links list loader logo main meta mini mobile module more next notice off open outer overlay page pane panel parent placeholder policy post posts prev primary region reply right root row rows search secondary section sections segment size slot small social space spacer static sticky sub submit tab table tabs text thread thumb tile title toggle top unit view wide wrap wrapper zone".split()
+)
 #: words of texts that aren't the article's, where no labels tell any: notices, adverts, offers
 NOTICES = frozenset(
     "advertisement advertising buy click cookie cookies copyright discount download login newsletter newsletters offer password policy privacy promo register reserved rights sale shop sign signup sponsored subscribe subscribers subscription terms unsubscribe".split()
@@ -71,7 +77,7 @@ _SENTENCE = re.compile(r"[.!?…。]")
 
 
 class Element:
-    __slots__ = ("name", "parent", "outer", "depth", "marked", "mark", "firm", "hint", "article", "unit", "hidden", "link", "heading")
+    __slots__ = ("name", "parent", "outer", "depth", "marked", "mark", "firm", "hint", "doubt", "article", "unit", "hidden", "link", "heading")
 
     def __init__(self, name: str, parent: Element | None, inline: bool):
         self.name, self.parent = name, parent
@@ -83,6 +89,7 @@ class Element:
         self.mark: Element | None = None  # the innermost element of that kind that it is or is in, articles aside
         self.firm = False  # whether it is such an element by more than a class, an id or a form
         self.hint = False  # the same for names that only hint at it
+        self.doubt = False  # the same for names in which such a word stands beside words of a subject, as in "cookie-recipe"
         self.article = False
         self.unit: Element | None = None  # the article or main element that cleared the marks around it
         self.hidden = self.link = self.heading = False
@@ -225,31 +232,36 @@ def place(found: list[tuple[str, Block]], marks: list[Element]) -> None:
             block.marked = block.marked or id(top.unit) in beside
         elif not units:
             block.marked = block.marked and id(top.mark) not in wraps
-        block.told = block.marked and (top.unit is not None or id(top.mark) not in wraps) or (top.article and not top.hint)
+        block.told = block.marked and (top.unit is not None or id(top.mark) not in wraps) or (top.article and not top.hint and not top.doubt)
 
 
-def named(value: str) -> tuple[bool, bool]:
-    """Whether a class or id marks an element, and whether it hints at it."""
-    marks = hints = False
+def named(value: str) -> tuple[bool, bool, bool]:
+    """Whether a class or id marks an element, whether it hints at it, and whether it has such a word, but beside words that aren't of the layout."""
+    marks = hints = doubt = False
     for name in value.split():
         words = _WORDS.findall(name)
-        if words and words[0] not in BESIDE:
-            marks = marks or not MARKS.isdisjoint(words)
-            hints = hints or not HINTS.isdisjoint(words)
-    return marks, hints
+        if not words or words[0] in BESIDE:
+            continue
+        mark, hint = not MARKS.isdisjoint(words), not HINTS.isdisjoint(words)
+        if mark or hint:
+            if all(w in MARKS or w in HINTS or w in STRUCTURE or len(w) < 2 for w in words):
+                marks, hints = marks or mark, hints or hint
+            else:
+                doubt = True
+    return marks, hints, doubt
 
 
 def element(name: str, attributes: str, parent: Element, inline: bool) -> Element:
     own = Element(name, parent, inline)
     firm = (name in LAYOUT and name != "form") or (name == "header" and not parent.article)
-    loose, hint, hidden = name == "form" or (name == "noscript" and not inline), False, name in HIDDEN
+    loose, hint, doubt, hidden = name == "form" or (name == "noscript" and not inline), False, False, name in HIDDEN
     if "=" in attributes or "hidden" in attributes:
         for key, *values in _ATTRIBUTE.findall(attributes):
             value = "".join(values).lower()
             key = key.lower()
             if key in ("class", "id") and name not in ("html", "body", "article", "main"):
-                marks, hints = named(value)
-                loose, hint = loose or marks, hint or hints
+                marks, hints, doubts = named(value)
+                loose, hint, doubt = loose or marks, hint or hints, doubt or doubts
             elif key == "role":
                 firm = firm or value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "menu")
             elif key == "hidden" or (key == "style" and "display:none" in value.replace(" ", "")):
@@ -257,7 +269,7 @@ def element(name: str, attributes: str, parent: Element, inline: bool) -> Elemen
     # an article inside an article is a part of it, such as a reader's comment
     begins = name in ARTICLE and (not parent.unit or (name == "article" and parent.unit.name == "main"))
     own.marked, own.firm = firm or loose or (parent.marked and not begins), firm
-    own.hint = hint or (parent.hint and not begins)
+    own.hint, own.doubt = hint or (parent.hint and not begins), doubt or (parent.doubt and not begins)
     own.mark = own if firm or loose else parent.mark
     own.article, own.unit = name in ARTICLE or parent.article, own if begins else parent.unit
     own.hidden, own.link = hidden or parent.hidden, name == "a" or parent.link
@@ -265,9 +277,11 @@ def element(name: str, attributes: str, parent: Element, inline: bool) -> Elemen
     return own
 
 
-#: Costs of a block's place (fixed values): in a marked element; in one with a hint; in an article; outside of the page's
-#: articles; on a page without any where others are marked.
-MARKED, HINTED, IN_ARTICLE, OUTSIDE, UNMARKED = -9.0, -7.0, 5.0, -1.0, 2.5
+#: Costs of a block's place (fixed values): in a marked element; in one with a hint; in one whose mark is in doubt; in an article; outside of
+#: the page's articles; on a page without any where others are marked; on a page that is one block.
+MARKED, HINTED, DOUBTED, IN_ARTICLE, OUTSIDE, UNMARKED, ALONE = -10.0, -9.0, -3.0, 5.0, -1.0, 2.5, 5.0
+#: What a block's text says counts for no more than this, either way: less than an article that nothing marks, more than a mark in doubt leaves of it.
+EVIDENCE = 4.0
 #: Weights of text_features() that the fit starts from and is drawn to, and without labels uses (fixed values).
 PRIOR = (-2.0, -4.0, 0.6, 1.0, 0.5, 2.0, 1.5, 0.5)
 #: Capacities of the smoothness edges to choose from: to the next block, and to the next block of the same parent.
@@ -300,9 +314,10 @@ def text_features(found: list[tuple[str, Block]], words: dict[str, float]) -> li
 
 def place_costs(found: list[tuple[str, Block]]) -> list[float]:
     articles, marks = any(b.parent.article for _, b in found), any(b.marked for _, b in found)
-    plain = OUTSIDE if articles else UNMARKED if marks else 0.0
-    hinted = lambda e: e.hint and not (e.heading and e.article)  # an article's own title may stand in its header
-    return [MARKED if b.marked else HINTED * hinted(b.parent) + (IN_ARTICLE if b.parent.article else plain) for _, b in found]
+    plain = ALONE if len(found) == 1 else OUTSIDE if articles else UNMARKED if marks else 0.0
+    titled = lambda e: e.heading and e.article  # an article's own title may stand in its header
+    doubts = lambda e: 0.0 if titled(e) else HINTED if e.hint else DOUBTED if e.doubt else 0.0
+    return [MARKED if b.marked else doubts(b.parent) + (IN_ARTICLE if b.parent.article else plain) for _, b in found]
 
 
 def is_content(block: Block) -> bool:
@@ -466,7 +481,8 @@ def minimum_cut(source: list[float], sink: list[float], edges: list[tuple[int, i
 
 
 def text_odds(found: list[tuple[str, Block]], model: Model) -> list[float]:
-    return [sum(map(mul, model.weights, x)) for x in text_features(found, model.words)]
+    """Log-odds of content by the text alone, drawn in to EVIDENCE at the most."""
+    return [EVIDENCE * math.tanh(sum(map(mul, model.weights, x)) / EVIDENCE) for x in text_features(found, model.words)]
 
 
 def labels(found: list[tuple[str, Block]], odds: list[float], smooth: tuple[float, float]) -> list[bool]:
@@ -487,15 +503,20 @@ def main_text(page: str, model: Model) -> str:
     found = blocks(page)
     if not found:
         return ""
-    odds = list(map(add, text_odds(found, model), place_costs(found)))
-    content = labels(found, odds, model.smooth)
+    content, _ = decided(found, model)
     return "\n\n".join(text for (text, _), keep in zip(found, content, strict=True) if keep)
 
 
+def decided(found: list[tuple[str, Block]], model: Model) -> tuple[list[bool], list[bool]]:
+    """Which blocks are content by the cut, and by their own costs without it."""
+    odds = list(map(add, text_odds(found, model), place_costs(found)))
+    return labels(found, odds, model.smooth), [o >= 0 for o in odds]
+
+
 def extract(pages: DataFrame, model: Model) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row of pages (page_id, url, html); model as from learn().
 
-    A null or empty page, or one without text, has the empty text. Repeated rows each get a row, other columns
+    A null or empty page, or one without text, has the empty text; a page that is one block that nothing marks, as plain text without a tag is, is that block. Repeated rows each get a row, other columns
     are ignored, null ids and addresses stay null, an empty table gives an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
