@@ -14,6 +14,7 @@ from parley.functions import ids
 from parley.operators import history, scaffold, segments, view
 from parley.plans import completion, prefixes, prompt
 from parley.sources import history as source
+from parley.sources.buckets import Store
 from parley.streaming import reducer, spread, voice
 
 MODEL, SYSTEM = "chat-model", "You are a helpful assistant."
@@ -88,6 +89,21 @@ def history_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.replace(m, m.where("conv_id % 2 = 0 and pos >= 2"))
 
 
+def bucketed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """history_merge by a store in buckets: a base, and the other side appended in two imports, the base compacted with the first."""
+    current, imported = _sides(spark, sf_dir)
+    store = Store.create(current, f"{segments.shared_folder(spark)}/store-{uuid.uuid4().hex}", 8)
+    store.append(imported.where("pos % 2 = 0"))
+    store.compact()
+    store.append(imported.where("pos % 2 = 1"))
+    return store.history()
+
+
+BUCKETED_MERGE = f"""WITH b AS (SELECT 0 AS side, * FROM ({MESSAGES}) WHERE pos <= 4 UNION ALL SELECT 1 + pos % 2, * REPLACE (text || ' (edited)' AS text) FROM ({MESSAGES}) WHERE pos >= 2),
+g AS (SELECT conv_id, id, min(side * 1000000 + pos) AS place, arg_max(author, side * 1000000 + pos) AS author, arg_max(text, side * 1000000 + pos) AS text, arg_max(is_favorite, side * 1000000 + pos) AS is_favorite FROM b GROUP BY conv_id, id)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY place) - 1 AS pos, id, author, text, is_favorite FROM g"""
+
+
 def import_notice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.import_notice(history.merge(*_sides(spark, sf_dir)))
 
@@ -449,6 +465,7 @@ ALL: dict[str, tuple[Query, str | None]] = {
     "history_merge": (lambda s, d: history.merge(*_sides(s, d)), _merge_sql("id")),
     "history_merge_dups": (lambda s, d: history.merge(*_sides(s, d, copies=True)), _merge_sql("conv_id || '-' || pos % 3")),
     "history_replace": (history_replace, f"WITH m AS ({MESSAGES}), i AS (SELECT * FROM m WHERE conv_id % 2 = 0 AND pos >= 2) SELECT * FROM i UNION ALL SELECT * FROM m WHERE conv_id NOT IN (SELECT conv_id FROM i)"),
+    "bucketed_merge": (bucketed_merge, BUCKETED_MERGE),
     "import_notice": (import_notice, f"SELECT conv_id, 'Imported history: ' || count(*) || ' messages.' AS notice FROM ({_merge_sql('id')}) GROUP BY conv_id"),
     "prompt_roles": (lambda s, d: prompt.roles(messages(s, d)), f"SELECT conv_id, pos, CASE author WHEN 'ASSISTANT' THEN 'assistant' ELSE 'user' END AS role, text AS content FROM ({MESSAGES})"),
     "prompt_context_stats": (lambda s, d: prompt.context_stats(messages(s, d)), f"SELECT conv_id, pos, n_messages, n_chars FROM (SELECT *, count(*) OVER w AS n_messages, CAST(sum(length(text)) OVER w AS BIGINT) AS n_chars FROM ({MESSAGES}) WINDOW w AS (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING)) WHERE author = 'USER'"),
