@@ -271,7 +271,7 @@ def matrices():
         yield f"width {d}", own @ own.T, {}
 
 
-@pytest.mark.parametrize("name, matrix, options", matrices(), ids=lambda x: x if isinstance(x, str) else "")
+@pytest.mark.parametrize("name, matrix, options", list(matrices()), ids=lambda x: x if isinstance(x, str) else "")
 def test_lanczos(name, matrix, options):
     """Eigenvalues and residuals to rounding, orthonormal vectors; with restarts, breakdowns and repeated eigenvalues."""
     values, vectors = whitening.block_lanczos(lambda q: matrix @ q, len(matrix), 4, **options)
