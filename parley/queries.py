@@ -231,9 +231,15 @@ def prefix_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prefix_sharing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each distinct prefix once, with the number of conversations that share it; texts cut to their first 12 characters, so that some do."""
-    some = messages(spark, sf_dir).withColumn("text", F.substring("text", 1, 12))
-    return prefixes.shared(prefixes.chain(some, SYSTEM)).select("digest", "parent", "n_turns", "n_convs", "conv_id")
+    """Each distinct prefix once, with the number of conversations that share it: every conversation goes on from the first
+    two places of the one whose number is the tens before its own."""
+    m = messages(spark, sf_dir)
+    begun = m.where("conv_id % 10 = 0 and pos < 2").select(F.col("conv_id").alias("base"), (F.col("pos") - 1000).alias("pos"), "id", "author", "text", "is_favorite")
+    forks = m.select("conv_id").distinct().withColumn("base", F.col("conv_id") - F.col("conv_id") % 10).join(begun, "base").drop("base")
+    return prefixes.shared(prefixes.chain(m.unionByName(forks), SYSTEM)).select("digest", "parent", "n_turns", "n_convs", "conv_id")
+
+
+FORKED = f"SELECT conv_id, pos, author, text FROM ({MESSAGES}) UNION ALL SELECT c.conv_id, h.pos - 1000, h.author, h.text FROM (SELECT DISTINCT conv_id FROM ({MESSAGES})) c JOIN ({MESSAGES}) h ON h.conv_id = c.conv_id - c.conv_id % 10 AND h.pos < 2"
 
 
 def prefix_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,17 +250,17 @@ def prefix_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.join(prefixes.payloads(m, links, asked, MODEL, SYSTEM), "digest").select("conv_id", "pos", "payload")
 
 
-def _chain_sql(text: str) -> str:
+def _chain_sql(source: str) -> str:
     part = lambda sha, at: f"('0x' || substr({sha}, {at}, 15))::HUGEINT"
     half = lambda i, at: f"list_reduce(list_prepend({part(f"sha256('{SYSTEM}')", at)}, list_transform(hashes, lambda h: {part('h', at)})), lambda x, y: (x * {prefixes.BASES[i]}::HUGEINT + y) % {prefixes.PRIME}::HUGEINT)"
-    return f"""c0 AS (SELECT conv_id, pos, author, sha256(CASE author WHEN 'ASSISTANT' THEN 'assistant' ELSE 'user' END || chr(10) || {text}) AS hash FROM ({MESSAGES})),
+    return f"""c0 AS (SELECT conv_id, pos, author, sha256(CASE author WHEN 'ASSISTANT' THEN 'assistant' ELSE 'user' END || chr(10) || text) AS hash FROM ({source})),
 c1 AS (SELECT conv_id, pos, author, list(hash) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS hashes FROM c0),
 c2 AS (SELECT *, printf('%016x%016x', ({half(0, 1)})::BIGINT, ({half(1, 16)})::BIGINT) AS digest FROM c1),
 c AS (SELECT conv_id, pos, author, len(hashes) AS n_turns, digest, coalesce(lag(digest) OVER (PARTITION BY conv_id ORDER BY pos), printf('%016x%016x', {part(f"sha256('{SYSTEM}')", 1)}::BIGINT, {part(f"sha256('{SYSTEM}')", 16)}::BIGINT)) AS parent FROM c2)"""
 
 
-PREFIX_CHAIN = f"WITH {_chain_sql('text')} SELECT * FROM c"
-PREFIX_SHARING = f"WITH {_chain_sql('substr(text, 1, 12)')} SELECT digest, any_value(parent) AS parent, any_value(n_turns) AS n_turns, count(*) AS n_convs, min(conv_id) AS conv_id FROM c GROUP BY digest"
+PREFIX_CHAIN = f"WITH {_chain_sql(MESSAGES)} SELECT * FROM c"
+PREFIX_SHARING = f"WITH {_chain_sql(FORKED)} SELECT digest, any_value(parent) AS parent, any_value(n_turns) AS n_turns, count(*) AS n_convs, min(conv_id) AS conv_id FROM c GROUP BY digest"
 
 def random_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new 64-bit id for each message."""
