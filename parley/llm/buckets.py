@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.common import staged
+from parley.llm.common import staged, tidy
 
 
 def compare_buckets(rows: DataFrame, key: str, row_id: str, block: int, compare: Callable[[pa.RecordBatch, np.ndarray | None], Iterator[pa.RecordBatch]], schema: str, sizes: DataFrame | None = None, together: int = 0) -> DataFrame:
@@ -75,7 +75,7 @@ def compare_buckets(rows: DataFrame, key: str, row_id: str, block: int, compare:
             yield from compare(bucket, side)
 
     keys = [key, "_a", "_b"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(tidy(run), schema)
 
 
 def ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import held_out, slices, table, unused, with_columns
+from parley.llm.common import held_out, slices, table, tidy, unused, with_columns
 from parley.llm.ngrams import hashed_ngrams, part_of, within
 
 BITS, SIZES, DIM = 15, range(2, 5), 16
@@ -147,7 +147,7 @@ def identify(docs: DataFrame, model: Model, added: tuple[str, str, str] = ("lang
                 columns = [*(part.column(c) for c in names), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(accepted, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, [*names, *added])
 
-    return docs.mapInArrow(run, with_columns(docs.select(names), "{} string, {} double, {} boolean".format(*added)))
+    return docs.mapInArrow(tidy(run), with_columns(docs.select(names), "{} string, {} double, {} boolean".format(*added)))
 
 
 def languages(docs: DataFrame, per_language: int = 1200) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm.chunks import LIMIT, byte_tokenizer
-from parley.llm.common import slices, staged, table, texts
+from parley.llm.common import slices, staged, table, texts, tidy
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 BINS = "fill int, members array<struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
@@ -50,7 +50,7 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, end_id: i
                     out.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]).astype(np.int32), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, [f.split()[0] for f in fields.split(", ")])
 
-    return texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(run, fields)
+    return texts(docs).withColumn("doc_id", F.col("doc_id").cast("bigint")).mapInArrow(tidy(run), fields)
 
 
 def best_fit(lengths: list[int], size: int) -> tuple[list[list[int]], list[int]]:
@@ -120,7 +120,7 @@ def pack(pieces: DataFrame, size: int = 2048, slack: int = 2, per_partition: int
         tasks = -(-n // per_partition)
         # by turns, not by a key: equal items are spread, and every task gets items of all lengths
         dealt = items.repartition(tasks)
-        bins = staged(dealt.mapInArrow(pack_round(size), BINS), "pack-bins")
+        bins = staged(dealt.mapInArrow(tidy(pack_round(size)), BINS), "pack-bins")
         left = bins.where(F.col("fill") < size - slack)
         before, n = n, left.count()
         if tasks == 1 or n > 0.95 * before:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
 from parley.llm.buckets import compare_buckets, grouped
-from parley.llm.common import slices, staged, table, texts, with_columns
+from parley.llm.common import slices, staged, table, texts, tidy, with_columns
 from parley.llm.components import connected_components
 
 #: the most differing bits of a link
@@ -100,7 +100,7 @@ def fingerprinted(rows: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
                 fp = np.array([fingerprint(t, words, seed) for t in part.column("text").to_pylist()], np.uint64)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(fp.view(np.int64))], [*names, "fp"])
 
-    return rows.mapInArrow(run, with_columns(rows.select(names), "fp bigint"))
+    return rows.mapInArrow(tidy(run), with_columns(rows.select(names), "fp bigint"))
 
 
 def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42) -> DataFrame:
@@ -214,7 +214,7 @@ def components(reps: DataFrame, bits: int, block: int, plan: Plan | None = None)
     """node and component of the linked nodes of reps: fp (distinct) and rep, its node."""
     if bits > BITS:
         raise ValueError(f"the anchors cover {BITS} differing bits at most")
-    replicas = reps.mapInArrow(replicate(plan or plan_for(reps.count())), "anchor bigint, fp bigint, rep bigint, home boolean")
+    replicas = reps.mapInArrow(tidy(replicate(plan or plan_for(reps.count()))), "anchor bigint, fp bigint, rep bigint, home boolean")
     return connected_components(compare_buckets(replicas, "anchor", "fp", block, linked(bits), "a bigint, b bigint"))
 
 

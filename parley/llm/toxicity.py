@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.common import held_out, slices, table, texts, unused, with_columns
+from parley.llm.common import held_out, slices, table, texts, tidy, unused, with_columns
 from parley.llm.ngrams import hashed_ngrams, part_of, sampled, within
 
 BITS, SIZES = 20, range(4, 9)
@@ -93,15 +93,26 @@ def fit(rows: list[tuple[str, int]], penalty: float = 1.0, steps: int = 60) -> t
     use = np.flatnonzero(ratio)
     place = np.full(1 << BITS, -1, np.int32)
     place[use] = np.arange(len(use))
+    # the texts' kept n-grams, one text after the other, as one array: the sample's largest
     own = [x[x >= 0] for x in (place[presence(text)] for text, _ in rows)]
-    column, row = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
-    others = np.log(((p - 1).clip(1) / (one - 1)) / (q / zero)), np.log((p / one) / ((q - 1).clip(1) / (zero - 1)))
-    value = np.where(y[row] == 1, others[0][use][column], others[1][use][column]).astype(np.float32)
+    ends = np.cumsum([len(x) for x in own])
+    starts, column = ends - [len(x) for x in own], np.concatenate(own)
+    del own
+    value = np.empty(len(column), np.float32)
+    for label, others in ((1, np.log(((p - 1).clip(1) / (one - 1)) / (q / zero))[use]), (0, np.log((p / one) / ((q - 1).clip(1) / (zero - 1)))[use])):
+        for i in np.flatnonzero(y == label):
+            value[starts[i] : ends[i]] = others[column[starts[i] : ends[i]]]
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, len(column), 1 << 20), side="right").tolist() + [len(y)]).tolist()
+    parts = [(i, j, starts[i], ends[j - 1]) for i, j in zip([0, *cuts], cuts, strict=False) if j > i]  # of about a million n-grams each
 
     def loss(w: np.ndarray) -> tuple[float, np.ndarray]:
-        z = np.bincount(row, value * w[column].astype(np.float32), len(y)) + w[-1]
+        z = np.full(len(y), w[-1])
+        for i, j, a, b in parts:
+            z[i:j] += np.bincount(np.repeat(np.arange(j - i), ends[i:j] - starts[i:j]), value[a:b] * w[column[a:b]], j - i)
         error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
-        gradient = np.append(np.bincount(column, value * error[row].astype(np.float32), len(use)), error.sum())
+        gradient = np.append(np.zeros(len(use)), error.sum())
+        for i, j, a, b in parts:
+            gradient[:-1] += np.bincount(column[a:b], value[a:b] * np.repeat(error[i:j], ends[i:j] - starts[i:j]), len(use))
         gradient[:-1] += penalty * w[:-1]
         return float(np.logaddexp(0, z).sum() - y @ z + penalty / 2 * (w[:-1] @ w[:-1])), gradient
 
@@ -156,7 +167,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0
                 p = 1 / (1 + np.exp(-np.clip(np.array(z), -500, 500)))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*names, *added])
 
-    return docs.mapInArrow(run, with_columns(docs.select(names), f"{added[0]} double, {added[1]} int"))
+    return docs.mapInArrow(tidy(run), with_columns(docs.select(names), f"{added[0]} double, {added[1]} int"))
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = 8000) -> DataFrame:

@@ -1,5 +1,6 @@
 """Each stage of the pipeline, and the whole run, against brute force: on the smallest tables with hard rows among them."""
 
+import json
 import math
 import zlib
 from collections import Counter
@@ -79,9 +80,9 @@ def with_language(rows, model):
 
 
 def without_copies(rows):
-    """Of equal texts the row with the largest id, ids before none; of rows that are equal in both, one."""
+    """Of equal texts the row with the largest id, ids before none; of rows that are equal in both, the first by its other columns."""
     best = {}
-    for r in rows:
+    for r in sorted(rows, key=lambda r: (json.dumps({c: v for c, v in r.asDict().items() if c != "text"}, separators=(",", ":"), ensure_ascii=False), r["text"] or "")):
         t = lower(r["text"])
         if t not in best or (r["doc_id"] is not None, r["doc_id"] or 0) > (best[t]["doc_id"] is not None, best[t]["doc_id"] or 0):
             best[t] = r
