@@ -20,8 +20,17 @@ ORACLE_SQL = None
 FEW = 500_000
 
 
+#: bytes that a batch of texts sent to Python may hold (a text is always whole): with less, workers and executors need less memory
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def without(docs: DataFrame, marked: DataFrame, digest: Column, label: str) -> DataFrame:
-    """docs but for the rows that marked (doc_id, text_sha256, kept) has as not kept, and those it has as kept once each.
+    """docs but for the rows that marked (doc_id, text_sha256, kept) has as not kept, and those it has as kept once each:
+    of rows equal in id and digest the one whose other columns, written as JSON, come first, then whose text does.
 
     A row is told by its doc_id (null equals null) and digest, its text's SHA-256: an id may be null, or repeat
     with another text. What is marked is written first: up to FEW rows of some 60 bytes are sent to the documents, beyond
@@ -40,13 +49,17 @@ def without(docs: DataFrame, marked: DataFrame, digest: Column, label: str) -> D
 
     left = keyed.join(dropped, same(keyed, dropped), "left_anti")
     if not again.isEmpty():
-        once = left.join(again, same(left, again), "left_semi").dropDuplicates(["doc_id", name])
-        left = left.join(again, same(left, again), "left_anti").unionByName(once)
+        repeated = left.join(again, same(left, again), "left_semi")
+        # combined before the shuffle
+        order = F.struct(F.to_json(F.struct(*(c for c in docs.columns if c != "text")), {"ignoreNullFields": "false"}), "text")
+        once = repeated.groupBy("doc_id", name).agg(F.min_by(F.struct(docs.columns), order).alias("row")).select("row.*")
+        left = left.join(again, same(left, again), "left_anti").select(docs.columns).unionByName(once)
     return left.select(docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves documents scored below 0.3, with or without text or id: all of them where nothing could be learned."""
+    small_batches(spark)
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     added = unused(docs, "toxic_score"), unused(docs, "toxic_predicted")
     return toxicity.score(docs, model, added=added).where(F.col(added[1]) == 0).select(docs.columns)
@@ -55,6 +68,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves documents whose language is told with enough certainty: not null texts or those without a letter.
     Where nothing could be learned all texts with a letter are left."""
+    small_batches(spark)
     added = unused(docs, "lang_pred"), unused(docs, "lang_score"), unused(docs, "lang_accepted")
     return language_id.identify(docs, language_id.learn(docs), added).where(F.col(added[2])).select(docs.columns)
 
@@ -68,6 +82,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves the row with the smallest doc_id of each near-duplicate group, once; one with a null doc_id only where no
     row of the group has an id. Fingerprints are linked, not ids, so that rows of one id are told apart by their texts."""
+    small_batches(spark)
     digest = F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256)
     return without(docs, simhash.near_groups(docs, digest), digest, "near-copies")
 
@@ -75,6 +90,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents that are left, with their places in sequences of 2048 tokens. A document without text is its
     end id alone; rows that repeat an id are cut each for itself."""
+    small_batches(spark)
     import public_tokenizers
 
     # smaller chunk tables than by default: the workers of earlier stages live on beside them
